@@ -27,22 +27,26 @@ def _width(df: DataFrame, tasks: int) -> int:
 
 def join_terms(
     rows: DataFrame, table: DataFrame, on: Sequence[str] = ("term",), tasks: int = 1,
-    broadcast_bytes: int | None = None, head_terms: int | None = None,
+    size: tuple[int, int] | None = None, broadcast_bytes: int | None = None,
+    head_terms: int | None = None,
 ) -> DataFrame:
     """Inner join of feature rows with a per-term table that carries ``df``.
 
     A table of checked small size is broadcast. A larger one is split: frequent terms (few
     by counting) are broadcast, so the bulk of the rows stays in place, and only the rows of
-    rare terms are shuffled.
+    rare terms are shuffled. ``size`` is (terms, sum of ``df``) of a table that is staged
+    already; without it the table is staged and counted here.
     """
     on = list(on)
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     head = HEAD_TERMS if head_terms is None else head_terms
-    table = stage(table, "terms")
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum("df").alias("pairs")).first()
-    if size["n"] * _width(table, tasks) <= limit:
+    if size is None:
+        table = stage(table, "terms")
+        size = tuple(table.agg(F.count(F.lit(1)), F.sum("df")).first())
+    terms, pairs = size
+    if terms * _width(table, tasks) <= limit:
         return rows.join(F.broadcast(table), on)
-    frequent = F.col("df") * F.lit(head) >= F.lit(size["pairs"])
+    frequent = F.col("df") * F.lit(head) >= F.lit(pairs)
     top = F.broadcast(table.filter(frequent))
     rare_rows = rows.join(F.broadcast(table.filter(frequent).select(*on)), on, "left_anti")
     return rows.join(top, on).unionByName(rare_rows.join(table.filter(~frequent), on))
@@ -59,9 +63,10 @@ def pack(tasks: int, name: str) -> Column:
 def doc_scores(
     rows: DataFrame, table: DataFrame, tasks: int, x: str = "x", w: str = "w",
     on: Sequence[str] = ("term",), keys: Sequence[str] = ("id",),
+    size: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``(*keys, s)`` with ``s[k] = sum_t x * w[k]``."""
-    joined = join_terms(rows, table, on, tasks)
+    joined = join_terms(rows, table, on, tasks, size)
     summed = joined.groupBy(*keys).agg(*array_sums(F.col(x).cast("double"), w, tasks))
     return summed.select(*keys, pack(tasks, "s"))
 

@@ -26,6 +26,7 @@ class BayesModel:
 
     weights: DataFrame
     prior: list[float]
+    size: tuple[int, int]
 
     @property
     def tasks(self) -> int:
@@ -55,23 +56,38 @@ def _log(value: float) -> float:
     return math.log(value) if value > 0 else float("-inf")
 
 
-def _term_totals(stats: DataFrame, q: int) -> tuple[int, float, list[float]]:
+@dataclass
+class Totals:
+    """Sums over all terms: vocabulary size, table rows, occurrences overall and per class."""
+
+    v: int
+    pairs: int
+    n: float
+    nk: list[float]
+
+
+def _term_totals(stats: DataFrame, q: int) -> Totals:
     row = stats.agg(
-        F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), *array_sums(F.lit(1.0), "nk", q)
+        F.count(F.lit(1)).alias("v"), F.sum("df").alias("pairs"), F.sum("n").alias("n"),
+        *array_sums(F.lit(1.0), "nk", q),
     ).first()
-    return row["v"], row["n"] or 0.0, [row[f"_s{k}"] or 0.0 for k in range(q)]
+    per_class = [row[f"_s{k}"] or 0.0 for k in range(q)]
+    return Totals(row["v"], row["pairs"] or 0, row["n"] or 0.0, per_class)
 
 
 def fit_binary(
-    counts: DataFrame, y: DataFrame, q: int, alpha: float = 1.0, x: str = "tf"
+    counts: DataFrame, y: DataFrame, q: int, alpha: float = 1.0, x: str = "tf",
+    totals: tuple[int, list[float]] | None = None,
 ) -> BayesModel:
-    """One-vs-rest fits of all ``q`` classes; scores are log-odds margins."""
+    """One-vs-rest fits of all ``q`` classes; scores are log-odds margins.
+
+    ``totals`` are the :func:`class_totals` of ``y`` if the caller has them.
+    """
     stats = stage(nb_stats(counts, y, q, x), "nb")
-    v, total, per_class = _term_totals(stats, q)
-    n, positives = class_totals(y, q)
-    shift = literal_array([
-        _log(c + alpha * v) - _log(total - c + alpha * v) for c in per_class
-    ])
+    sums = _term_totals(stats, q)
+    n, positives = totals or class_totals(y, q)
+    smooth = alpha * sums.v
+    shift = literal_array([_log(c + smooth) - _log(sums.n - c + smooth) for c in sums.nk])
     weights = stats.select(
         "term", "df",
         F.zip_with(
@@ -83,7 +99,7 @@ def fit_binary(
         _log(p) - _log(n - p) if 0 < p < n else math.copysign(float("inf"), p - n / 2)
         for p in positives
     ]
-    return BayesModel(weights, prior)
+    return BayesModel(weights, prior, (sums.v, sums.pairs))
 
 
 def fit_multiclass(
@@ -91,18 +107,19 @@ def fit_multiclass(
 ) -> BayesModel:
     """Joint log likelihood of all classes; predict with :func:`best_class`."""
     stats = stage(nb_stats(counts, y, q, x), "nb")
-    v, _, per_class = _term_totals(stats, q)
+    sums = _term_totals(stats, q)
     n, sizes = class_totals(y, q)
-    shift = literal_array([_log(c + alpha * v) for c in per_class])
+    shift = literal_array([_log(c + alpha * sums.v) for c in sums.nk])
     weights = stats.select(
         "term", "df", F.zip_with("nk", shift, lambda c, s: F.log(c + alpha) - s).alias("w")
     )
-    return BayesModel(weights, [_log(s) - _log(n) for s in sizes])
+    prior = [_log(s) - _log(n) for s in sizes]
+    return BayesModel(weights, prior, (sums.v, sums.pairs))
 
 
 def score(model: BayesModel, counts: DataFrame, ids: DataFrame, x: str = "tf") -> DataFrame:
     """``(id, m)`` rounded scores; documents without any known term keep the prior."""
-    sums = doc_scores(counts, model.weights, model.tasks, x)
+    sums = doc_scores(counts, model.weights, model.tasks, x, size=model.size)
     prior = literal_array(model.prior)
     empty = literal_array([0.0] * model.tasks)
     return ids.select("id").join(sums, "id", "left").select(

@@ -102,10 +102,11 @@ def linear_well_at_rate(
 
 
 def nb_margins(
-    counts: DataFrame, y: DataFrame, ids: DataFrame, q: int, alpha: float = 1.0
+    counts: DataFrame, y: DataFrame, ids: DataFrame, q: int, alpha: float = 1.0,
+    totals: tuple[int, list[float]] | None = None,
 ) -> DataFrame:
     """``(id, m)`` margins of one-vs-rest naive Bayes fitted and scored on the same rows."""
-    return bayes.score(bayes.fit_binary(counts, y, q, alpha), counts, ids)
+    return bayes.score(bayes.fit_binary(counts, y, q, alpha, totals=totals), counts, ids)
 
 
 def reliable_negatives(
@@ -162,44 +163,40 @@ def iterate_bayes(
     the last margins too. Returns margins and the number of refits per class.
     """
     y = stage(to_matrix(labels, q, ids), "targets")
-    state = stage(
-        nb_margins(counts, y, ids, q, alpha).withColumn("y", bayes.positive("m")), "margins"
-    )
+    state = stage(nb_margins(counts, y, ids, q, alpha), "margins")
+    still = F.array_repeat(F.lit(0.0), q)
+    n, ones, _ = _progress(state.withColumn("delta", still), q)
     refits, active = [0] * q, [True] * q
     for _ in range(max_iter):
-        n, ones = bayes.class_totals(state, q)
         active = [a and 0 < c < n for a, c in zip(active, ones)]
         if not any(active):
             break
-        fresh = nb_margins(counts, state.select("id", "y"), ids, q, alpha)
+        y = state.select("id", bayes.positive("m").alias("y"))
+        fresh = nb_margins(counts, y, ids, q, alpha, (n, ones))
         moving = F.array(*map(F.lit, active))
-        step = fresh.withColumnRenamed("m", "m1").join(state, "id")
+        step = fresh.withColumnRenamed("m", "m1").join(state.select("id", "m"), "id")
         step = step.withColumn("_m", F.arrays_zip(F.col("m1"), F.col("m"), moving.alias("go")))
         merged = F.transform("_m", lambda v: F.when(v["go"], v["m1"]).otherwise(v["m"]))
         moved = F.transform(
             "_m",
             lambda v: F.when(v["go"], F.abs(proba(v["m1"]) - proba(v["m"]))).otherwise(0.0),
         )
-        state = stage(
-            step.select("id", merged.alias("m"), moved.alias("delta")).withColumn(
-                "y", bayes.positive("m")
-            ),
-            "margins",
-        )
-        deltas = max_delta(state, q)
+        state = stage(step.select("id", merged.alias("m"), moved.alias("delta")), "margins")
+        n, ones, deltas = _progress(state, q)
         refits = [r + 1 if a else r for r, a in zip(refits, active)]
         active = [a and d > eps for a, d in zip(active, deltas)]
-        if not any(active):
-            break
     return state.select("id", "m"), refits
 
 
-def max_delta(state: DataFrame, q: int) -> list[float]:
-    """Largest change per class."""
+def _progress(state: DataFrame, q: int) -> tuple[int, list[float], list[float]]:
+    """Rows, positive margins per class and largest change per class, from one pass."""
     row = state.agg(
-        *[F.max(F.get("delta", F.lit(k))).alias(f"d{k}") for k in range(q)]
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.get("m", F.lit(k)) > 0).alias(f"p{k}") for k in range(q)],
+        *[F.max(F.get("delta", F.lit(k))).alias(f"d{k}") for k in range(q)],
     ).first()
-    return [row[f"d{k}"] or 0.0 for k in range(q)]
+    ones = [float(row[f"p{k}"]) for k in range(q)]
+    return row["n"], ones, [row[f"d{k}"] or 0.0 for k in range(q)]
 
 
 def margin_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -43,19 +43,22 @@ def _ngrams(tokens: Column, n: int) -> Column:
 def term_counts(
     df: DataFrame, column: str = "text", pattern: str = WORD_PATTERN,
     stop_words: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 1),
-    binary: bool = False, carry: Sequence[str] = (),
+    binary: bool = False, carry: Sequence[str] = (), placed: bool = False,
 ) -> DataFrame:
     """``(id, *carry, term, tf)`` of texts with unique ids.
 
-    Texts are placed by id before they are exploded, so counting needs no exchange of the
-    much larger token stream, and the result can be written bucketed by id as it is.
+    Texts are placed by id before they are exploded (``placed``: they already are), so
+    counting needs no exchange of the much larger token stream, and the result can be
+    written bucketed by id as it is.
     """
     keep = ["id", *carry]
-    placed = df.select(*keep, column).repartition(shuffle_width(df.sparkSession), "id")
+    texts = df.select(*keep, column)
+    if not placed:
+        texts = texts.repartition(shuffle_width(df.sparkSession), "id")
     tokens = token_array(F.col(column), pattern)
     low, high = ngram_range
     if (low, high) != (1, 1):
-        rows = placed.select(*keep, F.explode(F.array(tokens)).alias("_t"))
+        rows = texts.select(*keep, F.explode(F.array(tokens)).alias("_t"))
         held = F.col("_t")
         if stop_words:
             listed = F.array(*map(F.lit, stop_words))
@@ -64,7 +67,7 @@ def term_counts(
         grams = F.concat(*[_ngrams(F.col("_t"), n) for n in range(low, high + 1)])
         rows = rows.select(*keep, F.explode(grams).alias("term"))
     else:
-        rows = placed.select(*keep, F.explode(tokens).alias("term"))
+        rows = texts.select(*keep, F.explode(tokens).alias("term"))
         rows = remove_stopwords(rows, stop_words)
     tf = F.lit(1).cast("bigint") if binary else F.count(F.lit(1))
     return rows.groupBy(*keep, "term").agg(tf.alias("tf"))

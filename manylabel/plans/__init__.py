@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalogue", "learning"]
+MODULES = ["catalogue", "learning", "margins"]
 
 
 def load_all() -> None:

@@ -9,7 +9,7 @@ from manylabel.functions.fixed import MIN_TEXT, PUNCTUATION
 from manylabel.functions.labels import to_matrix
 from manylabel.operators.clean import clean_texts
 from manylabel.operators.features import term_counts, tfidf
-from manylabel.session import stage, stage_by_key
+from manylabel.session import stage_by_key
 
 SOURCES = [f"src{i}" for i in range(20)]
 Q = len(SOURCES)
@@ -39,14 +39,17 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Corpus:
     """Staged texts, counts and TF-IDF rows of the cleaned documents.
 
-    ``labels`` are positives by source; counts and features are bucketed by id.
+    The raw text is read once. Every table is bucketed by id, so the learners join and sum
+    by document without moving them. ``labels`` are the positives by source.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, with_tfidf: bool = True):
         self.spark, self.sf_dir = spark, sf_dir
-        docs = cleaned(spark, sf_dir)
-        self.counts = stage_by_key(term_counts(docs), "id", "counts", placed=True)
-        self.ids = stage(docs.select("id", "class_id"), "ids")
+        self.docs = stage_by_key(cleaned(spark, sf_dir), "id", "docs")
+        self.counts = stage_by_key(
+            term_counts(self.docs, placed=True), "id", "counts", placed=True
+        )
+        self.ids = self.docs.select("id", "class_id")
         self.labels = self.ids
         self.n = self.ids.count()
         self.features = None
