@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalogue", "learning", "margins"]
+MODULES = ["catalogue", "learning", "margins", "ingest"]
 
 
 def load_all() -> None:
