@@ -163,7 +163,7 @@ def enrich(dataset: DataFrame, method: str, q: int, text: str = "text", **option
     docs = stage_by_key(dataset.select("id", "class_id", text), "id", "docs")
     counts = stage_by_key(term_counts(docs, text, placed=True), "id", "counts", placed=True)
     ids = docs.select("id", "class_id")
-    features = stage_by_key(tfidf(counts, ids.count()), "id", "tfidf")
+    features = stage_by_key(tfidf(counts, ids.count()), "id", "tfidf", placed=True)
     return METHODS[method](counts, features, ids, ids, q, **options)
 
 
@@ -185,7 +185,8 @@ SVM_COSTS = [3.0, 1.0, 0.3, 0.1]
 def _train_features(counts: DataFrame, train: DataFrame) -> DataFrame:
     """TF-IDF of all rows with vocabulary and frequencies of the training rows only."""
     inside = counts.join(train.select("id"), "id", "left_semi")
-    return stage_by_key(tfidf(counts, train.count(), doc_freq(inside)), "id", "tfidf")
+    rows = tfidf(counts, train.count(), doc_freq(inside))
+    return stage_by_key(rows, "id", "tfidf", placed=True)
 
 
 def class_scores(

@@ -17,9 +17,9 @@ from manylabel.operators.ranks import with_rank
 from manylabel.session import shuffle_width
 
 
-def token_array(text: Column, pattern: str = WORD_PATTERN) -> Column:
-    """All matches of ``pattern`` in the lower-cased text, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+def token_array(text: Column, pattern: str = WORD_PATTERN, group: int = 0) -> Column:
+    """All matches of ``pattern`` (or of one group of it) in the lower-cased text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(group))
 
 
 def tokenize(df: DataFrame, column: str = "text", pattern: str = WORD_PATTERN) -> DataFrame:
@@ -44,6 +44,7 @@ def term_counts(
     df: DataFrame, column: str = "text", pattern: str = WORD_PATTERN,
     stop_words: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 1),
     binary: bool = False, carry: Sequence[str] = (), placed: bool = False,
+    group: int = 0,
 ) -> DataFrame:
     """``(id, *carry, term, tf)`` of texts with unique ids.
 
@@ -55,7 +56,7 @@ def term_counts(
     texts = df.select(*keep, column)
     if not placed:
         texts = texts.repartition(shuffle_width(df.sparkSession), "id")
-    tokens = token_array(F.col(column), pattern)
+    tokens = token_array(F.col(column), pattern, group)
     low, high = ngram_range
     if (low, high) != (1, 1):
         rows = texts.select(*keep, F.explode(F.array(tokens)).alias("_t"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalogue", "learning", "margins", "ingest"]
+MODULES = ["catalogue", "learning", "margins", "smoothing", "ingest"]
 
 
 def load_all() -> None:

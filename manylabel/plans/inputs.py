@@ -54,7 +54,9 @@ class Corpus:
         self.n = self.ids.count()
         self.features = None
         if with_tfidf:
-            self.features = stage_by_key(tfidf(self.counts, self.n), "id", "tfidf")
+            self.features = stage_by_key(
+                tfidf(self.counts, self.n), "id", "tfidf", placed=True
+            )
 
     def quality(self) -> DataFrame:
         """Positives of one class: documents labelled as good."""
