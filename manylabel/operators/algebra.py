@@ -7,6 +7,7 @@ array column, so a pass over the features serves all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,12 +53,15 @@ def join_terms(
     return rows.join(top, on).unionByName(rare_rows.join(table.filter(~frequent), on))
 
 
-def array_sums(value: Column, weights: str, tasks: int) -> list[Column]:
-    return [F.sum(value * F.get(F.col(weights), F.lit(k))).alias(f"_s{k}") for k in range(tasks)]
+def array_sums(value: str, weights: str, tasks: int) -> list[Column]:
+    """``_s0, _s1, ...``: sums of the SQL expression ``value`` times each array element."""
+    return [F.expr(f"sum({value} * get({weights}, {k})) AS _s{k}") for k in range(tasks)]
 
 
 def pack(tasks: int, name: str) -> Column:
-    return F.array(*[F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) for k in range(tasks)]).alias(name)
+    """The sums of :func:`array_sums` as one array column."""
+    cells = ", ".join(f"coalesce(_s{k}, 0.0D)" for k in range(tasks))
+    return F.expr(f"array({cells}) AS {name}")
 
 
 def doc_scores(
@@ -67,7 +71,7 @@ def doc_scores(
 ) -> DataFrame:
     """``(*keys, s)`` with ``s[k] = sum_t x * w[k]``."""
     joined = join_terms(rows, table, on, tasks, size)
-    summed = joined.groupBy(*keys).agg(*array_sums(F.col(x).cast("double"), w, tasks))
+    summed = joined.groupBy(*keys).agg(*array_sums(f"CAST({x} AS DOUBLE)", w, tasks))
     return summed.select(*keys, pack(tasks, "s"))
 
 
@@ -81,10 +85,13 @@ def term_sums(
     """
     joined = rows.join(docs, "id")
     summed = joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("df"), *array_sums(F.col(x).cast("double"), a, tasks)
+        F.count(F.lit(1)).alias("df"), *array_sums(f"CAST({x} AS DOUBLE)", a, tasks)
     )
     return summed.select(*keys, "df", pack(tasks, "s"))
 
 
 def literal_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    cells = ", ".join(
+        f"{float(v)!r}D" if math.isfinite(v) else f"double('{float(v)}')" for v in values
+    )
+    return F.expr(f"array({cells})")

@@ -39,16 +39,16 @@ def nb_stats(counts: DataFrame, y: DataFrame, q: int, x: str = "tf") -> DataFram
     ``y`` is ``(id, y)`` with a 0/1 array; documents outside it are not counted.
     """
     joined = counts.join(y.select("id", "y"), "id")
-    value = F.col(x).cast("double")
     summed = joined.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum(value).alias("n"), *array_sums(value, "y", q)
+        F.count(F.lit(1)).alias("df"), F.sum(F.col(x).cast("double")).alias("n"),
+        *array_sums(f"CAST({x} AS DOUBLE)", "y", q)
     )
     return summed.select("term", "df", "n", pack(q, "nk"))
 
 
 def class_totals(y: DataFrame, q: int) -> tuple[int, list[float]]:
     """Number of documents, overall and per class: ``q + 1`` numbers."""
-    row = y.agg(F.count(F.lit(1)).alias("n"), *array_sums(F.lit(1.0), "y", q)).first()
+    row = y.agg(F.count(F.lit(1)).alias("n"), *array_sums("1.0D", "y", q)).first()
     return row["n"], [row[f"_s{k}"] or 0.0 for k in range(q)]
 
 
@@ -69,7 +69,7 @@ class Totals:
 def _term_totals(stats: DataFrame, q: int) -> Totals:
     row = stats.agg(
         F.count(F.lit(1)).alias("v"), F.sum("df").alias("pairs"), F.sum("n").alias("n"),
-        *array_sums(F.lit(1.0), "nk", q),
+        *array_sums("1.0D", "nk", q),
     ).first()
     per_class = [row[f"_s{k}"] or 0.0 for k in range(q)]
     return Totals(row["v"], row["pairs"] or 0, row["n"] or 0.0, per_class)

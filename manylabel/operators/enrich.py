@@ -8,13 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from manylabel.functions.labels import labels_or, to_matrix, to_positives
 from manylabel.functions.vectors import proba
 from manylabel.operators import bayes
-from manylabel.operators.algebra import array_sums, doc_scores, pack, term_sums
+from manylabel.operators.algebra import (
+    array_sums,
+    doc_scores,
+    join_terms,
+    literal_array,
+    pack,
+    term_sums,
+)
 from manylabel.operators.ranks import order_statistic
 from manylabel.operators.sample import folds, hash_folds, sample_spies
 from manylabel.session import stage
@@ -192,8 +199,8 @@ def _progress(state: DataFrame, q: int) -> tuple[int, list[float], list[float]]:
     """Rows, positive margins per class and largest change per class, from one pass."""
     row = state.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.get("m", F.lit(k)) > 0).alias(f"p{k}") for k in range(q)],
-        *[F.max(F.get("delta", F.lit(k))).alias(f"d{k}") for k in range(q)],
+        *[F.expr(f"count_if(get(m, {k}) > 0) AS p{k}") for k in range(q)],
+        *[F.expr(f"max(get(delta, {k})) AS d{k}") for k in range(q)],
     ).first()
     ones = [float(row[f"p{k}"]) for k in range(q)]
     return row["n"], ones, [row[f"d{k}"] or 0.0 for k in range(q)]
@@ -306,74 +313,75 @@ def fold_margins_nb(
 ) -> DataFrame:
     """``(id, m)``: every document scored by a fit on the other folds.
 
-    ``y`` is ``(id, y, fold)``. One aggregate by (term, fold) serves all folds: training
-    counts of a fold are the totals over all folds minus its own.
+    ``y`` is ``(id, y, fold)``. One aggregate by term holds the counts of all folds side by
+    side; training counts of a fold are the totals minus its own.
     """
-    joined = counts.join(y, "id")
-    tf = F.col("tf").cast("double")
-    own = joined.groupBy("term", "fold").agg(
-        F.count(F.lit(1)).alias("df"), F.sum(tf).alias("n"), *array_sums(tf, "y", q)
-    ).select("term", "fold", "df", "n", pack(q, "nk"))
-    own = stage(own, "foldstats")
-    all_terms = own.groupBy("term").agg(
-        F.sum("df").alias("df"), F.sum("n").alias("n"), *array_sums(F.lit(1.0), "nk", q)
-    ).select("term", "df", F.col("n").alias("all_n"), pack(q, "all_nk"))
-    by_fold = own.groupBy("fold").agg(
-        F.sum("n").alias("n"), *array_sums(F.lit(1.0), "nk", q)
-    ).select("fold", "n", pack(q, "nk"))
-    tokens = {r["fold"]: (r["n"], r["nk"]) for r in by_fold.collect()}  # k rows
-    sizes = {
-        r["fold"]: (r["c"], [r[f"_s{j}"] or 0.0 for j in range(q)])
-        for r in y.groupBy("fold")
-        .agg(F.count(F.lit(1)).alias("c"), *array_sums(F.lit(1.0), "y", q))
-        .collect()  # k rows
-    }
-    v = own.select("term").distinct().count()
-    total = sum(n for n, _ in tokens.values())
-    total_k = [sum(nk[j] for _, nk in tokens.values()) for j in range(q)]
-    docs = sum(c for c, _ in sizes.values())
-    docs_k = [sum(c[j] for _, c in sizes.values()) for j in range(q)]
+    width = q + 1  # occurrences overall, then per class
+    own = F.concat(F.array(F.lit(1).cast("tinyint")), F.col("y"))
+    none = F.array_repeat(F.lit(0).cast("tinyint"), width)
+    spread = F.flatten(F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)),
+        lambda f: F.when(f == F.col("fold"), own).otherwise(none),
+    ))
+    docs = stage(y.select("id", "y", "fold", spread.alias("a")), "foldtargets")
+    stats = stage(term_sums(counts, docs.select("id", "a"), k * width, "tf"), "foldstats")
+    cells = range(k * width)
+    row = stats.agg(
+        F.count(F.lit(1)).alias("v"), F.sum("df").alias("pairs"),
+        *array_sums("1.0D", "s", k * width),
+    ).first()
+    sizes = docs.agg(*array_sums("1.0D", "a", k * width)).first()
+
+    def outside(values) -> list[list[float]]:
+        """Sums over all folds but one, for each fold."""
+        parts = [values[f"_s{c}"] or 0.0 for c in cells]
+        every = [sum(parts[f * width + j] for f in range(k)) for j in range(width)]
+        return [[every[j] - parts[f * width + j] for j in range(width)] for f in range(k)]
 
+    v = row["v"]
     priors, shifts = [], []
-    for f in range(k):
-        n_f, nk_f = tokens.get(f, (0.0, [0.0] * q))
-        c_f, ck_f = sizes.get(f, (0, [0.0] * q))
-        prior, shift = [], []
-        for j in range(q):
-            inside, outside = total_k[j] - nk_f[j], (total - n_f) - (total_k[j] - nk_f[j])
-            shift.append(bayes._log(inside + alpha * v) - bayes._log(outside + alpha * v))
-            p, n = docs_k[j] - ck_f[j], docs - c_f
-            if 0 < p < n:
-                prior.append(bayes._log(p) - bayes._log(n - p))
-            else:
-                prior.append(float("inf") if p else float("-inf"))
-        priors.append(prior)
-        shifts.append(shift)
-
-    def table(rows: list[list[float]]):
-        return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
-
-    # Weights of every (term, fold) that occurs in a document to be scored.
-    pairs = own.drop("df").join(all_terms, "term").withColumn(
-        "_z", F.arrays_zip(
-            F.col("all_nk").alias("a"), F.col("nk").alias("o"),
-            F.get(table(shifts), F.col("fold")).alias("s"),
-        )
+    for (n, *ones), (tokens, *per_class) in zip(outside(sizes), outside(row)):
+        priors.append([
+            bayes._log(p) - bayes._log(n - p) if 0 < p < n
+            else float("inf") if p else float("-inf")
+            for p in ones
+        ])
+        shifts.append([
+            bayes._log(c + alpha * v) - bayes._log(tokens - c + alpha * v) for c in per_class
+        ])
+
+    def table(rows: list[list[float]]) -> Column:
+        return F.array(*[literal_array(r) for r in rows])
+
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(q)),
+        lambda j: F.aggregate(
+            F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0),
+            lambda acc, f: acc + F.get("s", f * width + j),
+        ),
     )
-    rest = F.col("all_n") - F.col("n")
-    weights = pairs.select(
-        "term", "fold", "df",
-        F.transform(
-            "_z",
-            lambda z: F.log(z["a"] - z["o"] + alpha)
-            - F.log(rest - (z["a"] - z["o"]) + alpha) - z["s"],
-        ).alias("w"),
+    sums = stats.select("term", "df", "s", F.explode(F.array(every)).alias("t"))
+
+    def weights_of(f: Column, shift: Column) -> Column:
+        tokens = F.get("t", F.lit(0)) - F.get("s", f * width)
+        return F.transform(shift, lambda c, j: (
+            F.log(F.get("t", j + 1) - F.get("s", f * width + j + 1) + alpha)
+            - F.log(
+                tokens - F.get("t", j + 1) + F.get("s", f * width + j + 1) + alpha
+            ) - c
+        ))
+
+    weights = sums.select(
+        "term", "df", F.transform(table(shifts), lambda c, f: weights_of(f, c)).alias("w")
     )
-    rows = counts.join(y.select("id", "fold"), "id")
-    sums = doc_scores(rows, weights, q, "tf", on=("term", "fold"))
-    zeros = F.array_repeat(F.lit(0.0), q)
+    joined = join_terms(
+        counts.join(docs.select("id", "fold"), "id"), weights, tasks=k * q,
+        size=(v, row["pairs"] or 0),
+    ).withColumn("w", F.get("w", F.col("fold")))
+    scores = joined.groupBy("id").agg(*array_sums("CAST(tf AS DOUBLE)", "w", q))
     prior = F.get(table(priors), F.col("fold"))
-    return y.select("id", "fold").join(sums, "id", "left").select(
+    zeros = F.array_repeat(F.lit(0.0), q)
+    return docs.select("id", "fold").join(scores.select("id", pack(q, "s")), "id", "left").select(
         "id",
         F.zip_with(
             F.coalesce("s", zeros), prior, lambda s, p: F.round(s + p, DIGITS)
