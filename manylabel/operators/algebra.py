@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,32 +23,53 @@ BROADCAST_BYTES = 256 << 20
 HEAD_TERMS = 20_000
 
 
-def _width(df: DataFrame, tasks: int) -> int:
-    return 64 + 8 * (len(df.columns) + tasks)
+# Longer terms are never broadcast as frequent ones, which bounds that table in bytes.
+MAX_HEAD_TERM = 1024
+
+
+class TermSize(NamedTuple):
+    """Measured size of a per-term table: rows, feature rows behind it, bytes of its keys."""
+
+    terms: int
+    pairs: int
+    key_bytes: int
+
+    def table_bytes(self, tasks: int) -> int:
+        return self.key_bytes + self.terms * (96 + 8 * tasks)
+
+
+SIZE_COLUMNS = (
+    "count(1) AS v", "coalesce(sum(df), 0) AS pairs",
+    "coalesce(sum(octet_length(term)), 0) AS key_bytes",
+)
+
+
+def term_size(table: DataFrame) -> TermSize:
+    return TermSize(*table.agg(*map(F.expr, SIZE_COLUMNS)).first())
 
 
 def join_terms(
     rows: DataFrame, table: DataFrame, on: Sequence[str] = ("term",), tasks: int = 1,
-    size: tuple[int, int] | None = None, broadcast_bytes: int | None = None,
+    size: TermSize | None = None, broadcast_bytes: int | None = None,
     head_terms: int | None = None,
 ) -> DataFrame:
     """Inner join of feature rows with a per-term table that carries ``df``.
 
     A table of checked small size is broadcast. A larger one is split: frequent terms (few
     by counting) are broadcast, so the bulk of the rows stays in place, and only the rows of
-    rare terms are shuffled. ``size`` is (terms, sum of ``df``) of a table that is staged
-    already; without it the table is staged and counted here.
+    rare terms are shuffled. ``size`` is the measured size of a table that is staged
+    already; without it the table is staged and measured here.
     """
     on = list(on)
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     head = HEAD_TERMS if head_terms is None else head_terms
     if size is None:
         table = stage(table, "terms")
-        size = tuple(table.agg(F.count(F.lit(1)), F.sum("df")).first())
-    terms, pairs = size
-    if terms * _width(table, tasks) <= limit:
+        size = term_size(table)
+    if size.table_bytes(tasks + len(table.columns)) <= limit:
         return rows.join(F.broadcast(table), on)
-    frequent = F.col("df") * F.lit(head) >= F.lit(pairs)
+    short = F.octet_length("term") <= MAX_HEAD_TERM
+    frequent = (F.col("df") * F.lit(head) >= F.lit(size.pairs)) & short
     top = F.broadcast(table.filter(frequent))
     rare_rows = rows.join(F.broadcast(table.filter(frequent).select(*on)), on, "left_anti")
     return rows.join(top, on).unionByName(rare_rows.join(table.filter(~frequent), on))
@@ -67,7 +89,7 @@ def pack(tasks: int, name: str) -> Column:
 def doc_scores(
     rows: DataFrame, table: DataFrame, tasks: int, x: str = "x", w: str = "w",
     on: Sequence[str] = ("term",), keys: Sequence[str] = ("id",),
-    size: tuple[int, int] | None = None,
+    size: TermSize | None = None,
 ) -> DataFrame:
     """``(*keys, s)`` with ``s[k] = sum_t x * w[k]``."""
     joined = join_terms(rows, table, on, tasks, size)

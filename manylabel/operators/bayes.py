@@ -14,7 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from manylabel.operators.algebra import array_sums, doc_scores, literal_array, pack
+from manylabel.operators.algebra import (
+    SIZE_COLUMNS,
+    TermSize,
+    array_sums,
+    doc_scores,
+    literal_array,
+    pack,
+)
 from manylabel.session import stage
 
 DIGITS = 6
@@ -26,7 +33,7 @@ class BayesModel:
 
     weights: DataFrame
     prior: list[float]
-    size: tuple[int, int]
+    size: TermSize
 
     @property
     def tasks(self) -> int:
@@ -58,21 +65,20 @@ def _log(value: float) -> float:
 
 @dataclass
 class Totals:
-    """Sums over all terms: vocabulary size, table rows, occurrences overall and per class."""
+    """Sums over all terms: table size, occurrences overall and per class."""
 
-    v: int
-    pairs: int
+    size: TermSize
     n: float
     nk: list[float]
 
 
 def _term_totals(stats: DataFrame, q: int) -> Totals:
     row = stats.agg(
-        F.count(F.lit(1)).alias("v"), F.sum("df").alias("pairs"), F.sum("n").alias("n"),
-        *array_sums("1.0D", "nk", q),
+        *map(F.expr, SIZE_COLUMNS), F.sum("n").alias("n"), *array_sums("1.0D", "nk", q),
     ).first()
     per_class = [row[f"_s{k}"] or 0.0 for k in range(q)]
-    return Totals(row["v"], row["pairs"] or 0, row["n"] or 0.0, per_class)
+    size = TermSize(row["v"], row["pairs"], row["key_bytes"])
+    return Totals(size, row["n"] or 0.0, per_class)
 
 
 def fit_binary(
@@ -86,7 +92,7 @@ def fit_binary(
     stats = stage(nb_stats(counts, y, q, x), "nb")
     sums = _term_totals(stats, q)
     n, positives = totals or class_totals(y, q)
-    smooth = alpha * sums.v
+    smooth = alpha * sums.size.terms
     shift = literal_array([_log(c + smooth) - _log(sums.n - c + smooth) for c in sums.nk])
     weights = stats.select(
         "term", "df",
@@ -99,7 +105,7 @@ def fit_binary(
         _log(p) - _log(n - p) if 0 < p < n else math.copysign(float("inf"), p - n / 2)
         for p in positives
     ]
-    return BayesModel(weights, prior, (sums.v, sums.pairs))
+    return BayesModel(weights, prior, sums.size)
 
 
 def fit_multiclass(
@@ -109,12 +115,12 @@ def fit_multiclass(
     stats = stage(nb_stats(counts, y, q, x), "nb")
     sums = _term_totals(stats, q)
     n, sizes = class_totals(y, q)
-    shift = literal_array([_log(c + alpha * sums.v) for c in sums.nk])
+    shift = literal_array([_log(c + alpha * sums.size.terms) for c in sums.nk])
     weights = stats.select(
         "term", "df", F.zip_with("nk", shift, lambda c, s: F.log(c + alpha) - s).alias("w")
     )
     prior = [_log(s) - _log(n) for s in sizes]
-    return BayesModel(weights, prior, (sums.v, sums.pairs))
+    return BayesModel(weights, prior, sums.size)
 
 
 def score(model: BayesModel, counts: DataFrame, ids: DataFrame, x: str = "tf") -> DataFrame:

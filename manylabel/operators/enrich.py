@@ -15,6 +15,8 @@ from manylabel.functions.labels import labels_or, to_matrix, to_positives
 from manylabel.functions.vectors import proba
 from manylabel.operators import bayes
 from manylabel.operators.algebra import (
+    SIZE_COLUMNS,
+    TermSize,
     array_sums,
     doc_scores,
     join_terms,
@@ -327,8 +329,7 @@ def fold_margins_nb(
     stats = stage(term_sums(counts, docs.select("id", "a"), k * width, "tf"), "foldstats")
     cells = range(k * width)
     row = stats.agg(
-        F.count(F.lit(1)).alias("v"), F.sum("df").alias("pairs"),
-        *array_sums("1.0D", "s", k * width),
+        *map(F.expr, SIZE_COLUMNS), *array_sums("1.0D", "s", k * width),
     ).first()
     sizes = docs.agg(*array_sums("1.0D", "a", k * width)).first()
 
@@ -376,7 +377,7 @@ def fold_margins_nb(
     )
     joined = join_terms(
         counts.join(docs.select("id", "fold"), "id"), weights, tasks=k * q,
-        size=(v, row["pairs"] or 0),
+        size=TermSize(v, row["pairs"], row["key_bytes"]),
     ).withColumn("w", F.get("w", F.col("fold")))
     scores = joined.groupBy("id").agg(*array_sums("CAST(tf AS DOUBLE)", "w", q))
     prior = F.get(table(priors), F.col("fold"))

@@ -32,8 +32,23 @@ def build_session(master: str = "local[8]", app: str = "manylabel", **conf) -> S
     return builder.getOrCreate()
 
 
+SHUFFLE = "spark.sql.shuffle.partitions"
+
+
+def tune(spark: SparkSession) -> None:
+    """Use one shuffle partition per core where nobody has chosen a number.
+
+    Spark's stock 200 is too few for a large cluster and too many for one machine. Large
+    inputs should set the number so that a partition of the features fits in memory.
+    """
+    untouched = not spark.sparkContext.getConf().contains(SHUFFLE)
+    if untouched and spark.conf.get(SHUFFLE) == "200":
+        spark.conf.set(SHUFFLE, spark.sparkContext.defaultParallelism)
+
+
 def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of keyed and ordered tables."""
+    return int(spark.conf.get(SHUFFLE))
 
 
 def staging_root(spark: SparkSession) -> str:
