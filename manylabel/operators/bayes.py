@@ -9,6 +9,7 @@ text compare equal whatever the summation order.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -109,18 +110,26 @@ def fit_binary(
 
 
 def fit_multiclass(
-    counts: DataFrame, y: DataFrame, q: int, alpha: float = 1.0, x: str = "tf"
+    counts: DataFrame, y: DataFrame, q: int, alpha: float | Sequence[float] = 1.0,
+    x: str = "tf",
 ) -> BayesModel:
-    """Joint log likelihood of all classes; predict with :func:`best_class`."""
+    """Joint log likelihood of all classes; predict with :func:`best_class`.
+
+    Several values of ``alpha`` share one pass over the counts: their weights follow each
+    other, ``q`` per value.
+    """
+    alphas = [alpha] if isinstance(alpha, (int, float)) else list(alpha)
     stats = stage(nb_stats(counts, y, q, x), "nb")
     sums = _term_totals(stats, q)
     n, sizes = class_totals(y, q)
-    shift = literal_array([_log(c + alpha * sums.size.terms) for c in sums.nk])
-    weights = stats.select(
-        "term", "df", F.zip_with("nk", shift, lambda c, s: F.log(c + alpha) - s).alias("w")
-    )
-    prior = [_log(s) - _log(n) for s in sizes]
-    return BayesModel(weights, prior, sums.size)
+
+    def weights(a: float) -> Column:
+        shift = literal_array([_log(c + a * sums.size.terms) for c in sums.nk])
+        return F.zip_with("nk", shift, lambda c, s: F.log(c + a) - s)
+
+    table = stats.select("term", "df", F.concat(*map(weights, alphas)).alias("w"))
+    prior = [_log(s) - _log(n) for s in sizes] * len(alphas)
+    return BayesModel(table, prior, sums.size)
 
 
 def score(model: BayesModel, counts: DataFrame, ids: DataFrame, x: str = "tf") -> DataFrame:

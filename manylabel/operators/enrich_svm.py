@@ -195,8 +195,7 @@ def class_scores(
 ) -> DataFrame:
     """``(id, i, pred)``: predicted class of ``rows`` for every parameter value.
 
-    ``train`` is ``(id, class_id)``. All SVM costs are tasks of one batched fit; naive Bayes
-    values share their statistics through the batched tables.
+    ``train`` is ``(id, class_id)``. All values of a parameter are fitted in one batch.
     """
     scored = features.join(rows.select("id"), "id", "left_semi")
     y = stage(to_matrix(train, q), "targets")
@@ -204,20 +203,13 @@ def class_scores(
         repeated = F.flatten(F.array_repeat(signs(), len(values)))
         targets = stage(y.select("id", repeated.alias("s")), "targets")
         costs = [v for v in values for _ in range(q)]
-        margins = stage(svm.fit(features, targets, costs).margins(scored, rows), "margins")
-        parts = [
-            margins.select("id", F.lit(i).alias("i"), F.slice("m", i * q + 1, q).alias("m"))
-            for i in range(len(values))
-        ]
+        margins = svm.fit(features, targets, costs).margins(scored, rows)
     else:
-        parts = []
-        for i, alpha in enumerate(values):
-            model = bayes.fit_multiclass(features, y, q, alpha, "x")
-            part = bayes.score(model, scored, rows, "x")
-            parts.append(part.select("id", F.lit(i).alias("i"), "m"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        margins = bayes.score(
+            bayes.fit_multiclass(features, y, q, list(values), "x"), scored, rows, "x"
+        )
+    pieces = F.array(*[F.slice("m", i * q + 1, q) for i in range(len(values))])
+    out = margins.select("id", F.posexplode(pieces).alias("i", "m"))
     return out.select("id", "i", bayes.best_class("m").alias("pred"))
 
 
