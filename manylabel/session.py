@@ -7,7 +7,6 @@ columnar, and give Catalyst real sizes to choose join strategies from.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,20 +53,14 @@ def shuffle_width(spark: SparkSession) -> int:
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for staged tables.
 
-    A cluster has to name it; only a local master, where driver and executors share
-    one disk, falls back to a temporary folder of its own.
+    It is the one named by ``spark.checkpoint.dir``, else the context's checkpoint folder,
+    else a folder in the warehouse; all three are shared on a cluster.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    context = spark.sparkContext
-    root = context.getCheckpointDir()
-    if root:
-        return root
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="manylabel-"))
-    return context.getCheckpointDir()
+    return (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
+    )
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -78,6 +71,28 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class LoopState:
+    """The staged state of a loop; each new state removes the one before it."""
+
+    def __init__(self, spark: SparkSession, label: str = "loop"):
+        self.spark = spark
+        self.label = label
+        self.path = None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        before, self.path = self.path, f"{staging_root(self.spark)}/{self.label}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        if before:
+            remove(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table, on whichever file system the shared folder is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage_by_key(
     df: DataFrame, key: str = "id", label: str = "keyed", placed: bool = False
 ) -> DataFrame:
