@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import language_filters
+from manylabel.llm import language_filters, toxicity
 from manylabel.plans.registry import query
 
 
@@ -18,6 +18,18 @@ def fold(key: str, folds: int) -> F.Column:
     return F.crc32(F.col(key).cast("string")) % folds
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of two of three folds are learned from."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit_toxicity(docs.filter(~held_out), labels.filter(~held_out))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 @query("op10_language_filters")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on four of five folds."""
