@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import language_filters, toxicity
+from manylabel.llm import language_filters, toxicity, tree_search
 from manylabel.plans.registry import query
 
 
@@ -18,6 +18,13 @@ def fold(key: str, folds: int) -> F.Column:
     return F.crc32(F.col(key).cast("string")) % folds
 
 
+@query("op1_tree_search")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return tree_search.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of two of three folds are learned from."""
