@@ -45,3 +45,28 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values[offsets[i]:offsets[i + 1]]`` for each ``i``; empty ranges give zero."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (run of non-blank bytes), and each text's offsets into them."""
+    solid = np.zeros(len(data) + 2, bool)
+    solid[1:-1] = ~BLANK[data]
+    first = solid[1:] & ~solid[:-1]
+    last = solid[:-1] & ~solid[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    cut = inner[solid[inner] & solid[inner + 1]]
+    first[cut] = True
+    last[cut] = True
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def pieces(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``values[starts[i]:starts[i] + lengths[i]]`` for all ``i``, one after the other."""
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+    return values[at + np.arange(int(lengths.sum()))]

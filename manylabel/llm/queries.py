@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import language_filters, toxicity, tree_search
+from manylabel.llm import language_filters, packing, toxicity, tree_search, viterbi
 from manylabel.plans.registry import query
 
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +28,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_search.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+@query("op7_viterbi")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to the same text."""
+    vocabulary = viterbi.load_vocabulary(VOCABULARY)
+    encoded = viterbi.encode_documents(table(spark, sf_dir, "documents"), vocabulary)
+    return encoded.select("doc_id", "ids", F.size("ids").alias("n_ids"), "round_trip")
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of two of three folds are learned from."""
@@ -37,6 +48,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 words; copies of a text never share one, nor three documents of a source."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), F.xxhash64("text"))
+
+
 @query("op10_language_filters")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; fitted on four of five folds."""
