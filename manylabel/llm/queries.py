@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import language_filters, packing, toxicity, tree_search, viterbi
+from manylabel.llm import language_filters, packing, simhash, stable_hashing, toxicity, tree_search, viterbi
 from manylabel.plans.registry import query
+from manylabel.session import stage
 
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -28,6 +29,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_search.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+@query("op2_stable_hashing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return stable_hashing.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and components at three differing bits."""
+    prints = stage(simhash.fingerprints(table(spark, sf_dir, "documents")), "simhash-prints")
+    return simhash.near_components(prints).select(
+        F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query("op7_viterbi")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether they decode to the same text."""
