@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import language_filters, packing, simhash, stable_hashing, toxicity, tree_search, viterbi, window_dedup
+from manylabel.llm import language_filters, packing, simhash, stable_hashing, suffix_dedup, toxicity, tree_search, viterbi, window_dedup
 from manylabel.plans.registry import query
 from manylabel.session import stage
 
@@ -35,6 +35,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_hashing.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left after removing 50-byte strings that start in an earlier document."""
+    return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 @query("op4_window_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing repeated windows of 35 words."""
