@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import language_filters, packing, simhash, stable_hashing, suffix_dedup, toxicity, tree_search, viterbi, window_dedup
+from manylabel.llm import language_filters, line_dedup, packing, simhash, stable_hashing, suffix_dedup, toxicity, tree_search, viterbi, window_dedup
 from manylabel.plans.registry import query
 from manylabel.session import stage
 
@@ -47,6 +47,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
 
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left after removing later copies of runs of two lines or more."""
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles and components at three differing bits."""
