@@ -1,3 +1,85 @@
-"""The corpus pipeline: its stages follow as the operators are added."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again.
 
-STAGES: list = []
+Every stage works on all rows that its predecessor kept and returns the columns of its input,
+but for the last, which returns the placement of the documents in bins. Rows with a null id or
+text, repeated rows and additional columns pass through as each operator defines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from manylabel.llm import line_dedup, near_documents, packing, suffix_dedup, toxicity
+from manylabel.plans.registry import query
+from manylabel.session import stage
+
+#: A document is toxic from this score on.
+TOXIC = 0.7
+#: Bytes of a passage that counts as repeated across documents (some 25 words and more).
+PASSAGE = 150
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it learns from all labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    scored = toxicity.score_toxicity(docs, model, keep=tuple(docs.columns), score="toxic_score__")
+    return scored.filter(F.col("toxic_score__") < TOXIC).drop("toxic_score__")
+
+
+def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with the text that stays; documents that lost all of it go."""
+    new = F.col("kept_text")
+    emptied = (F.length(new) == 0) & (F.length("text") > 0)
+    columns = {"text": new, "n_chars": F.length(new).cast("long")}
+    touched = F.col("n_removed") > 0
+    return changed.filter(~F.coalesce(emptied, F.lit(False))).select(
+        *[F.when(touched, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in docs.columns]
+    )
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of runs of two lines or more."""
+    changed = line_dedup.remove_repeated_lines(docs, keep=tuple(docs.columns), with_text=True)
+    return _with_text(changed, docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    groups = near_documents.near_documents(docs)
+    kept = stage(groups.filter("key = component").select(F.col("key").alias("doc_id")).distinct(), "pipeline-kept")
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that start in an earlier document."""
+    changed = suffix_dedup.remove_repeated_strings(docs, PASSAGE, keep=tuple(docs.columns), with_text=True)
+    return _with_text(changed, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2,048 words, at most two documents of a source in each."""
+    return packing.pack_documents(docs, F.xxhash64("text"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", drop_repeated_passages),
+    ("best-fit packing", pack),
+]
+
+#: Learned scores, suffix arrays and packing are not SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+@query("pipeline")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return docs

@@ -173,17 +173,19 @@ def fit_toxicity(
     )
 
 
-def _scored(shared, keep: list[str], text: str):
+def _scored(shared, keep: list[str], text: str, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for rows, data, offsets in text_slices(batch, text):
-                yield pa.record_batch({k: rows.column(k) for k in keep} | {"score": pa.array(model.scores(data, offsets))})
+                yield pa.record_batch({k: rows.column(k) for k in keep} | {name: pa.array(model.scores(data, offsets))})
 
     return score
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score"
+) -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1) of every row, from the whole text.
 
     The model has a fixed size (one float for each of ``2**BUCKET_BITS`` buckets), so it is
@@ -191,4 +193,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{k}` {t}" for k, t in docs.select(*keep).dtypes)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_scored(shared, list(keep), text), f"{fields}, score double")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_scored(shared, list(keep), text, score), f"{fields}, `{score}` double")
