@@ -28,20 +28,24 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter(F.col("toxic_score__") < TOXIC).drop("toxic_score__")
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The rows as id, text and one struct of all other columns, whatever their names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id"), F.col("text"), F.struct(*others).alias("row"))
+
+
 def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with the text that stays; documents that lost all of it go."""
-    new = F.col("kept_text")
-    emptied = (F.length(new) == 0) & (F.length("text") > 0)
-    columns = {"text": new, "n_chars": F.length(new).cast("long")}
-    touched = F.col("n_removed") > 0
-    return changed.filter(~F.coalesce(emptied, F.lit(False))).select(
-        *[F.when(touched, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in docs.columns]
+    new, touched = F.col("kept_text"), F.col("n_removed") > 0
+    columns = {"text": new, "n_chars": F.when(touched, F.length(new)).otherwise(F.col("row.n_chars")).cast("long")}
+    return changed.filter(~(touched & (F.length(new) == 0))).select(
+        *[columns.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
     )
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of runs of two lines or more."""
-    changed = line_dedup.remove_repeated_lines(docs, keep=tuple(docs.columns), with_text=True)
+    changed = line_dedup.remove_repeated_lines(_whole(docs), keep=("row",), with_text=True)
     return _with_text(changed, docs)
 
 
@@ -55,7 +59,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that start in an earlier document."""
-    changed = suffix_dedup.remove_repeated_strings(docs, PASSAGE, keep=tuple(docs.columns), with_text=True)
+    changed = suffix_dedup.remove_repeated_strings(_whole(docs), PASSAGE, keep=("row",), with_text=True)
     return _with_text(changed, docs)
 
 

@@ -142,7 +142,7 @@ def _checked(shingle: int, similarity: float):
 
 
 def near_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.98, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.995, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """``(key, component)``: the smallest id reachable over texts at least ``similarity`` alike."""
     named = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))

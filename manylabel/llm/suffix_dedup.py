@@ -44,10 +44,11 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     bits = n.bit_length()
-    base = int(codes.max()) + 1
-    length = max(1, int((64 - bits) / np.log2(max(base, 2))))
+    base = int(codes.max()) + 2  # 0 stands for the places behind the end
+    length = max(1, int((64 - bits) / np.log2(base)))
     wide = np.zeros(n + length, np.uint64)
     wide[:n] = codes
+    wide[:n] += np.uint64(1)
     key = np.zeros(n, np.uint64)
     for j in range(length):
         key = key * np.uint64(base) + wide[j : n + j]
@@ -353,15 +354,20 @@ def remove_repeated_strings(
 
     replies = replies.unionByName(merged(shards.run(second, SENT, replies), lambda x: _earlier(x, True)))
 
-    def open_runs(runs: Runs, answers: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def judged(runs: Runs, answers: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that a smaller document has whole, and runs whose strings must be looked up.
+
+        A document may have a run several times; all of them are looked up.
+        """
         at = runs.shared(answers.get(0, []), parts)
         entry, number = runs.entries(at)
-        return at, number, entry, _read(answers.get(1, []), entry, fine, np.uint8)
+        code = _read(answers.get(1, []), entry, fine, np.uint8)[number]
+        own = runs.document[at] == runs.document[entry][number]
+        return at[code == 1], at[(code == 2) & own]
 
     def third(shard: int, rows: pa.StructArray, answers: dict) -> Iterator[pa.RecordBatch]:
         runs = Runs(Texts(rows, text, key, length), _kept(answers))
-        _, _, entry, code = open_runs(runs, answers)
-        string, run = runs.windows(entry[code == 2])
+        string, run = runs.windows(judged(runs, answers)[1])
         begin = runs.texts.strings[string]
         yield from _sent_entries(shard, 2, fine, runs.keys[run], range_hash(runs.total, begin, begin + length), runs.document[run])
 
@@ -370,12 +376,11 @@ def remove_repeated_strings(
     def last(shard: int, rows: pa.StructArray, answers: dict) -> Iterator[pa.RecordBatch]:
         texts = Texts(rows, text, key, length)
         runs = Runs(texts, _kept(answers))
-        at, number, entry, code = open_runs(runs, answers)
+        whole, doubtful = judged(runs, answers)
         gone = runs.gone.copy()
-        whole = at[code[number] == 1] if len(at) else at
         string, _ = runs.windows(whole)
         gone[string] = True
-        string, _ = runs.windows(entry[code == 2])
+        string, _ = runs.windows(doubtful)
         gone[string[_read(answers.get(2, []), string, fine, np.uint8) == 1]] = True
         cover = np.zeros(len(texts.data) + 1, np.int64)
         begin = texts.strings[gone]
@@ -395,7 +400,8 @@ def remove_repeated_strings(
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
         }
         if with_text:
-            columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+            missing = rows.field(text).is_null().to_numpy(zero_copy_only=False)
+            columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string(), mask=missing)
         yield pa.record_batch(columns)
 
     fields = ", ".join(f"`{k}` {t}" for k, t in docs.select(*keep).dtypes)
