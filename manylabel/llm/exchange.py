@@ -46,18 +46,16 @@ class Shards:
                     struct = pa.StructArray.from_arrays(rows.columns, names=rows.schema.names)
                     yield pa.record_batch({
                         "shard": pa.array([partition << 32 | number], pa.int64()),
-                        "n_bytes": pa.array([int(offsets[b] - offsets[a])], pa.int64()),
                         "docs": pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), struct),
                     })
                     number += 1
 
         row = docs.schema.simpleString()
-        shards = docs.mapInArrow(packed, f"shard long, n_bytes long, docs array<{row}>")
-        first = stage(shards, label)
-        self.n_bytes = first.agg(F.sum("n_bytes")).first()[0] or 0
+        self.n_bytes = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        shards = docs.mapInArrow(packed, f"shard long, docs array<{row}>")
         width = max(shuffle_width(spark), -(-self.n_bytes // BUCKET_BYTES))
         name = f"{label}_{uuid.uuid4().hex}"
-        first.repartition(width, "shard").write.bucketBy(width, "shard").option(
+        shards.repartition(width, "shard").write.bucketBy(width, "shard").option(
             "path", f"{staging_root(spark)}/{name}"
         ).saveAsTable(name)
         self.table = spark.table(name)
