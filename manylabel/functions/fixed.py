@@ -156,7 +156,6 @@ SEED_IDS = [
     "com.makingfun.mageandminions", "com.gameloft.android.ANMP.Gloft5DHM",
     "com.Zeeppo.GuitarBand",
 ]
-FRONTIER_CAP = 100_000
 
 MODEL_ORDER = ["naive", "well", "linear_well", "kfold_well", "nbsvm", "spysvm", "iterspysvm"]
 

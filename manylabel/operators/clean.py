@@ -12,7 +12,6 @@ from manylabel.functions.fixed import (
     APP_HEADER,
     CATEGORIES,
     IMPORTANT_IDS,
-    MAX_TEXT,
     MIN_FIELDS,
     MIN_TEXT,
     TRIVIAL_DEFAULT,
@@ -101,12 +100,13 @@ def min_length(
 
 
 def clean_texts(
-    df: DataFrame, column: str = "text", id_col: str = "id", lang: str | None = "en",
-    max_length: int = MAX_TEXT, n: int = MIN_TEXT, keep_ids: Sequence[str] = IMPORTANT_IDS,
+    df: DataFrame, column: str = "text", id_col: str = "id", lang: str | None = None,
+    max_length: int | None = None, n: int | None = None, keep_ids: Sequence[str] = IMPORTANT_IDS,
 ) -> DataFrame:
     """The whole text chain: language, characters, density, spacing, URLs, cut, length.
 
-    Everything is narrow and JVM-side: one scan, no shuffle.
+    Language, cut and least length act only where they are given. Everything is narrow and
+    JVM-side: one scan, no shuffle.
     """
     if lang:
         df = keep_language(df, lang)
@@ -114,8 +114,9 @@ def clean_texts(
     df = drop_sparse_text(df, column)
     df = _once(df, column, tx.squeeze_spaces(F.col(column)))
     df = _once(df, column, tx.strip_urls(F.col(column)))
-    df = df.withColumn(column, tx.truncate_words(F.col(column), max_length))
-    return min_length(df, column, n, id_col, keep_ids)
+    if max_length is not None:
+        df = df.withColumn(column, tx.truncate_words(F.col(column), max_length))
+    return df if n is None else min_length(df, column, n, id_col, keep_ids)
 
 
 def _once(df: DataFrame, column: str, value: Column) -> DataFrame:

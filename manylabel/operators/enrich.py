@@ -194,6 +194,10 @@ def iterate_bayes(
         n, ones, deltas = _progress(state, q)
         refits = [r + 1 if a else r for r, a in zip(refits, active)]
         active = [a and d > eps for a, d in zip(active, deltas)]
+    else:
+        if any(active):
+            raise RuntimeError(f"classes not settled after {max_iter} refits: "
+                               f"{[k for k, a in enumerate(active) if a]}")
     return state.select("id", "m"), refits
 
 

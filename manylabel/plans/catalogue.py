@@ -10,12 +10,14 @@ from manylabel.functions import text as tx
 from manylabel.operators import clean, encode, evaluate, ranks, sample
 from manylabel.plans.inputs import (
     CLEAN,
+    CLEAN_AND_CUT,
     DOCS,
     EVENT_TYPES,
     Q,
     SOURCES,
     USER_TYPES,
     cleaned,
+    cleaned_and_cut,
     documents,
     table,
     user_types,
@@ -28,9 +30,9 @@ PUNCT_SQL = tx.PUNCTUATION.replace("'", "''")
 # --- text functions ---------------------------------------------------------
 
 
-@query("clean_texts", f"WITH {CLEAN} SELECT id, class_id, text FROM clean")
+@query("clean_texts", f"WITH {CLEAN_AND_CUT} SELECT id, class_id, text FROM clean")
 def clean_texts(spark, sf_dir):
-    return cleaned(spark, sf_dir).select("id", "class_id", "text")
+    return cleaned_and_cut(spark, sf_dir).select("id", "class_id", "text")
 
 
 @query("strip_non_ascii", """
@@ -408,11 +410,11 @@ def top_of_large_classes(spark, sf_dir):
 
 
 @query("head_split", f"""WITH {CLEAN}
-SELECT id, class_id, CASE WHEN rn <= 5 THEN 'test' ELSE 'train' END AS split FROM (
+SELECT id, class_id, CASE WHEN rn <= 20 THEN 'test' ELSE 'train' END AS split FROM (
   SELECT id, class_id, row_number() OVER (PARTITION BY class_id ORDER BY id) AS rn FROM clean)""")
 def head_split(spark, sf_dir):
     docs = stage(cleaned(spark, sf_dir).select("id", "class_id"), "clean")
-    return sample.head_split(docs, [F.col("id")], n_test=5)
+    return sample.head_split(docs, [F.col("id")])
 
 
 @query("contiguous_folds", """

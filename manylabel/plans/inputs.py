@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.functions.fixed import MIN_TEXT, PUNCTUATION
+from manylabel.functions.fixed import MAX_TEXT, MIN_TEXT, PUNCTUATION
 from manylabel.functions.labels import to_matrix
+from manylabel.functions.lists import name_index
+from manylabel.functions.text import clean_characters
 from manylabel.operators.clean import clean_texts
 from manylabel.operators.features import term_counts, tfidf
 from manylabel.session import stage_by_key
@@ -24,15 +26,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, class_id, n_chars, lang, text)`` with the source as the weak class."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        (F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")) - 1)
-        .cast("int").alias("class_id"),
+        name_index(F.col("source"), SOURCES).alias("class_id"),
         "n_chars", "lang", "text",
     )
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned English texts; the fixed id list of app packages plays no part here."""
-    docs = clean_texts(documents(spark, sf_dir), keep_ids=())
+    """All documents with their whole texts; only characters are cleaned."""
+    return documents(spark, sf_dir).select(
+        "id", "class_id", "n_chars", clean_characters(F.col("text")).alias("text")
+    )
+
+
+def cleaned_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English texts after the whole cleaning chain with its limits."""
+    docs = clean_texts(
+        documents(spark, sf_dir), lang="en", max_length=MAX_TEXT, n=MIN_TEXT, keep_ids=()
+    )
     return docs.select("id", "class_id", "n_chars", "text")
 
 
@@ -73,8 +83,7 @@ def user_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, class_id, n)``: how often each user caused each type of event."""
     return table(spark, sf_dir, "events").groupBy(
         F.col("user_id").alias("id"),
-        (F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1)
-        .cast("int").alias("class_id"),
+        name_index(F.col("event_type"), EVENT_TYPES).alias("class_id"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -88,6 +97,12 @@ docs AS (
   FROM documents)"""
 
 CLEAN = f"""
+clean AS MATERIALIZED (
+  SELECT doc_id AS id, CAST(substr(source, 4) AS INTEGER) AS class_id, n_chars,
+         translate(lower(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')), '{_CHARS}', '') AS text
+  FROM documents)"""
+
+CLEAN_AND_CUT = f"""
 squeezed AS (
   SELECT id, class_id, n_chars,
          regexp_replace(regexp_replace(x, ' +', ' ', 'g'), ' http[^\\n]*? ', ' ', 'g') AS t

@@ -121,7 +121,7 @@ def grid_search_nb(spark, sf_dir):
 def grid_search(spark, sf_dir):
     """Grid search on the training part, report on the hold-out."""
     corpus = Corpus(spark, sf_dir, with_tfidf=False)
-    parts = stage(head_split(corpus.ids, [F.col("id")], n_test=5), "parts")
+    parts = stage(head_split(corpus.ids, [F.col("id")]), "parts")
     train, test = (parts.filter(F.col("split") == s) for s in ("train", "test"))
     result = enrich_svm.grid_search(corpus.counts, train, Q, costs=[1.0, 0.3], alphas=[1.0, 0.1])
     predicted = enrich_svm.refit(corpus.counts, train, test, Q, *result.best)

@@ -45,9 +45,10 @@ def test_clean_chain_keeps_listed_ids(spark):
     rows = [("a", "en", long), ("b", "en", short), ("c", "de", long), ("d", None, long),
             ("com.tencent.ig", "en", short), ("e", "en", None), ("f", "en", "x " * 2000)]
     df = spark.createDataFrame(rows, "id string, lang string, text string")
-    kept = {r["id"]: r["text"] for r in clean.clean_texts(df).collect()}
+    kept = {r["id"]: r["text"] for r in clean.clean_texts(df, lang="en", max_length=3000, n=800).collect()}
     assert set(kept) == {"a", "com.tencent.ig"}
     assert kept["a"] == long
+    assert {r["id"] for r in clean.clean_texts(df).collect()} == {"a", "b", "c", "d", "com.tencent.ig"}
 
 
 def test_length_border(spark):
