@@ -8,6 +8,8 @@ columnar, and give Catalyst real sizes to choose join strategies from.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +65,39 @@ def staging_root(spark: SparkSession) -> str:
     )
 
 
+_scopes: list[list[tuple[str, str | None]]] = []
+
+
+@contextmanager
+def staging() -> Iterator[list[tuple[str, str | None]]]:
+    """Collect the path, and the catalog name if any, of everything staged inside."""
+    made: list[tuple[str, str | None]] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
+def made(path: str, name: str | None = None) -> None:
+    """Tell the innermost scope about a staged table."""
+    if _scopes:
+        _scopes[-1].append((path, name))
+
+
+def drop_staged(spark: SparkSession, tables: list[tuple[str, str | None]]) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for path, name in tables:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        remove(spark, path)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    made(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,6 +112,7 @@ class LoopState:
 
     def put(self, df: DataFrame) -> DataFrame:
         before, self.path = self.path, f"{staging_root(self.spark)}/{self.label}-{uuid.uuid4().hex}"
+        made(self.path)
         df.write.parquet(self.path)
         if before:
             remove(self.spark, before)
@@ -104,6 +136,7 @@ def stage_by_key(
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     width = shuffle_width(spark)
+    made(f"{staging_root(spark)}/{name}", name)
     (
         (df if placed else df.repartition(width, key))
         .write.bucketBy(width, key)
