@@ -7,12 +7,14 @@ text, repeated rows and additional columns pass through as each operator defines
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manylabel.llm import line_dedup, near_documents, packing, suffix_dedup, toxicity
 from manylabel.plans.registry import query
-from manylabel.session import stage
+from manylabel.session import drop_staged, stage, staging
 
 #: A document is toxic from this score on.
 TOXIC = 0.7
@@ -20,6 +22,28 @@ TOXIC = 0.7
 PASSAGE = 150
 
 
+#: What the stage before has staged; its output is written when the next stage starts.
+_left: list = []
+
+
+def tidy(function):
+    """Remove the staged tables of the stage before, unless ``docs`` still reads them."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        done = [x for x in _left if not any(x[0].rsplit("/", 1)[-1] in f for f in read)]
+        drop_staged(spark, done)
+        _left[:] = [x for x in _left if x not in done]
+        with staging() as tables:
+            out = function(spark, docs, sf_dir)
+        _left.extend(tables)
+        return out
+
+    return run_stage
+
+
+@tidy
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -43,12 +67,14 @@ def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+@tidy
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of runs of two lines or more."""
     changed = line_dedup.remove_repeated_lines(_whole(docs), keep=("row",), with_text=True)
     return _with_text(changed, docs)
 
 
+@tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
     groups = near_documents.near_documents(docs)
@@ -57,12 +83,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return known.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
+@tidy
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that start in an earlier document."""
     changed = suffix_dedup.remove_repeated_strings(_whole(docs), PASSAGE, keep=("row",), with_text=True)
     return _with_text(changed, docs)
 
 
+@tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of 2,048 words, at most two documents of a source in each."""
     return packing.pack_documents(docs, F.xxhash64("text"))

@@ -14,18 +14,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from manylabel.session import LoopState, remove, stage, staging_root  # noqa: F401
+from manylabel.session import LoopState, stage
 
 
 def in_units(rows: DataFrame, keys: list[str], ident: str, block: int) -> DataFrame:
-    """Rows of keys with company, with ``lo``, ``hi`` (the unit's blocks) and ``mine``.
+    """Rows with ``lo``, ``hi`` (the unit's blocks) and ``mine``, the row's own block.
 
-    Rows come sorted by unit within partitions, a unit never in two of them.
+    Rows come sorted by unit within partitions, a unit never in two of them. Only keys with more
+    rows than a block are looked up; staged, their table has a known size, by which Spark decides
+    whether to broadcast it, so rows move once.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
-    blocks = F.ceil(F.col("company") / block).cast("int")
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("company"))
+    hot = stage(counts.filter(F.col("company") > block), "hot-keys")
+    blocks = F.coalesce(F.ceil(F.col("company") / block), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(5), F.col(ident)), blocks).cast("int")
-    together = rows.join(counts, keys).withColumn("mine", mine)
+    together = rows.join(hot, keys, "left").withColumn("mine", mine)
     paired = together.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
         *rows.columns, "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manylabel.llm.batches import slices, utf8
-from manylabel.session import shuffle_width, stage, staging_root
+from manylabel.session import made, shuffle_width, stage, staging_root
 
 SHARD_BYTES = 2_000_000
 #: Text of one bucket of the staged table, and hashes that one merging task gets.
@@ -55,6 +55,7 @@ class Shards:
         shards = docs.mapInArrow(packed, f"shard long, docs array<{row}>")
         width = max(shuffle_width(spark), -(-self.n_bytes // BUCKET_BYTES))
         name = f"{label}_{uuid.uuid4().hex}"
+        made(f"{staging_root(spark)}/{name}", name)
         shards.repartition(width, "shard").write.bucketBy(width, "shard").option(
             "path", f"{staging_root(spark)}/{name}"
         ).saveAsTable(name)

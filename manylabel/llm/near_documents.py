@@ -27,6 +27,8 @@ from manylabel.llm.simhash import Forest, majority, shingle_hashes
 from manylabel.session import stage
 
 BLOCK = 1024
+#: Bytes of a fingerprint that travel to the buckets, for the distance of two texts.
+SKETCH = 48
 #: Standard errors of the estimate on either side of the threshold.
 MARGIN = 3.0
 
@@ -142,17 +144,17 @@ def _checked(shingle: int, similarity: float):
 
 
 def near_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.995, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.99, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """``(key, component)``: the smallest id reachable over texts at least ``similarity`` alike."""
     named = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     bits, bands = band_sizes(named.count(), similarity, recall)
-    size = bits * bands
+    size = min(8 * SKETCH, 64 * -(-bits * bands // 64))
     edge = differing(similarity)
     slack = MARGIN * math.sqrt(edge * (1 - edge) / size)
     prints = stage(named.mapInArrow(_printed(shingle, bits, bands), "id long, print binary, bands array<int>"), "near-prints")
     entries = prints.groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    spread = entries.select("id", "print", F.posexplode("bands").alias("part", "value"))
+    spread = entries.select("id", F.substring("print", 1, SKETCH).alias("print"), F.posexplode("bands").alias("part", "value"))
     linked = _linked(math.floor(size * (edge + slack)), math.floor(size * max(0.0, edge - slack)))
     found = stage(
         in_units(spread, ["part", "value"], "id", BLOCK).mapInArrow(linked, "a long, b long, sure boolean")

@@ -85,21 +85,21 @@ def train(
     size = 1 << BUCKET_BITS
     if len(set(labels.tolist())) < 2:
         return ToxicityModel(np.zeros(size, np.float32), 0.0, fitted=False)
-    totals = np.array([c.sum() for c in counts], np.float64)
-    rows = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-    cols = np.concatenate(buckets)
-    share = (np.concatenate(counts) / np.maximum(totals, 1)[rows]).astype(np.float32)
     by_class = np.bincount(labels, minlength=2)
-    toxic = np.bincount(cols, labels[rows], size) / by_class[1]
-    clean = np.bincount(cols, 1 - labels[rows], size) / by_class[0]
-    both = np.bincount(cols, minlength=size) / len(buckets)
+    shares = np.zeros((2, size))
+    for found, label in zip(buckets, labels.tolist()):
+        shares[label, found] += 1
+    both = shares.sum(axis=0) / len(buckets)
+    clean, toxic = shares / by_class[:, None]
     gap = np.abs(toxic - clean) / np.sqrt(np.maximum(both * (1 - both), 1 / len(buckets)))
     bar = np.sort(gap)[-vocabulary] if vocabulary < size else 0.0
     frequent = gap > max(bar, 1e-9)
-    keep = frequent[cols]
     ids = np.full(size, -1)
     ids[frequent] = np.arange(frequent.sum())
-    rows, cols, share = rows[keep], ids[cols[keep]], share[keep]
+    kept = [np.flatnonzero(frequent[b]) for b in buckets]
+    rows = np.repeat(np.arange(len(buckets)), [len(k) for k in kept])
+    cols = ids[np.concatenate([b[k] for b, k in zip(buckets, kept)])]
+    share = np.concatenate([c[k] / max(1, c.sum()) for c, k in zip(counts, kept)])
     width, n = int(frequent.sum()), len(buckets)
     share *= 100.0
     rng = np.random.default_rng(seed)
