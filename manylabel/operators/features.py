@@ -172,9 +172,10 @@ def scale(
     if identity:
         return df.withColumns({c: F.col(c).cast("double") / (1 + eps) for c in cols})
     m = (moments(df, cols) if fitted is None else fitted).first()
-    return df.withColumns(
-        {c: (F.col(c).cast("double") - m[f"{c}_mean"]) / (m[f"{c}_std"] + eps) for c in cols}
-    )
+    return df.withColumns({
+        c: (F.col(c).cast("double") - (m[f"{c}_mean"] or 0.0)) / ((m[f"{c}_std"] or 0.0) + eps)
+        for c in cols
+    })
 
 
 def numeric_block(df: DataFrame, cols: Sequence[str]) -> DataFrame:
