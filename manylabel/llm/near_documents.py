@@ -26,7 +26,7 @@ from manylabel.llm.buckets import by_unit, components, in_units, local_component
 from manylabel.llm.simhash import Forest, majority, shingle_hashes
 from manylabel.session import stage
 
-BLOCK = 1024
+BLOCK = 512
 #: Bytes of a fingerprint that travel to the buckets, for the distance of two texts.
 SKETCH = 48
 #: Standard errors of the estimate on either side of the threshold.
@@ -60,14 +60,14 @@ def _printed(shingle: int, bits: int, bands: int):
     scale = 1 << np.arange(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in (b.slice(a, 500) for b in batches for a in range(0, len(b), 500)):
             prints = np.array(
-                [wide_print(shingle_hashes((t.as_py() or "").encode(), shingle), words) for t in batch.column("text")], np.uint64
+                [wide_print(shingle_hashes((t.as_py() or "").encode(), shingle), words) for t in rows.column("text")], np.uint64
             ).reshape(-1, words)
             flat = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : bits * bands]
             values = (flat.reshape(len(prints), bands, bits) * scale).sum(axis=2).astype(np.int32)
             yield pa.record_batch({
-                "id": batch.column("id"), "print": pa.array([p.tobytes() for p in prints], pa.binary()),
+                "id": rows.column("id"), "print": pa.array([p.tobytes() for p in prints], pa.binary()),
                 "bands": pa.ListArray.from_arrays(np.arange(0, values.size + 1, bands, dtype=np.int32), values.ravel()),
             })
 
@@ -104,7 +104,7 @@ def _linked(radius: int, sure: int):
         group = np.searchsorted(starts, np.arange(len(rows)), "right")
         out = []
         cuts = [0]
-        for i in range(1, len(starts)):  # whole units, about 2,048 rows at a time
+        for i in range(1, len(starts)):  # whole units, about 1,024 rows at a time
             if starts[i] - starts[cuts[-1]] >= 2 * BLOCK or i == len(starts) - 1:
                 cuts.append(i)
         for c, e in zip(cuts[:-1], cuts[1:]):

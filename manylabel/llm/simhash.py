@@ -28,7 +28,7 @@ from manylabel.session import stage
 
 #: Rows of a block of a hot bucket, and (query, node) visits held at a time.
 BLOCK = 4096
-VISITS = 1 << 20
+VISITS = 1 << 17
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
