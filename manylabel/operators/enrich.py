@@ -133,18 +133,24 @@ def _without_spies(labels: DataFrame, spies: DataFrame) -> DataFrame:
 
 
 def _below_threshold(
-    margins: DataFrame, labels: DataFrame, spies: DataFrame, noise: float
+    margins: DataFrame, labels: DataFrame, ids: DataFrame, spies: DataFrame, noise: float, q: int
 ) -> DataFrame:
-    """Non-positives strictly below the spy threshold of their class."""
-    long = margins.select("id", F.posexplode("m").alias("class_id", "m"))
-    spy_scores = long.join(spies, ["id", "class_id"], "left_semi")
-    limits = order_statistic(spy_scores, "class_id", "m", noise)
-    unlabeled = long.join(labels.select("id", "class_id"), ["id", "class_id"], "left_anti")
-    return (
-        unlabeled.join(F.broadcast(limits), "class_id")
-        .filter(F.col("m") < F.col("threshold"))
-        .select("id", "class_id")
+    """Non-positives strictly below the spy threshold of their class.
+
+    Only scores of spies become rows; the thresholds, one for each class, are literals, and
+    margins are compared inside their arrays.
+    """
+    spy_scores = margins.join(spies.select("id", "class_id"), "id").select(
+        "id", "class_id", F.get("m", F.col("class_id")).alias("m")
+    )
+    found = order_statistic(spy_scores, "class_id", "m", noise).collect()
+    limits = {r["class_id"]: r["threshold"] for r in found}
+    bars = F.array(*[F.lit(limits.get(k)).cast("double") for k in range(q)])
+    scored = margins.join(to_matrix(labels, q, ids), "id").withColumn(
+        "_v", F.arrays_zip(F.col("m"), F.col("y"), bars.alias("bar"))
     )
+    flags = F.transform("_v", lambda v: ((v["m"] < v["bar"]) & (v["y"] == 0)).cast("tinyint"))
+    return to_positives(scored.select("id", flags.alias("y")))
 
 
 def spy_negatives(
@@ -158,7 +164,7 @@ def spy_negatives(
     spies = stage(sample_spies(labels, share, seed), "spies")
     y = to_matrix(_without_spies(labels, spies), q, ids)
     margins = stage(nb_margins(counts, stage(y, "targets"), ids, q, alpha), "margins")
-    return _below_threshold(margins, labels, spies, noise)
+    return _below_threshold(margins, labels, ids, spies, noise, q)
 
 
 def iterate_bayes(
@@ -233,7 +239,7 @@ def iter_spy_negatives(
     margins, _ = iterate_bayes(
         counts, _without_spies(labels, spies), ids, q, alpha, eps, max_iter
     )
-    return _below_threshold(margins, labels, spies, noise)
+    return _below_threshold(margins, labels, ids, spies, noise, q)
 
 
 def pu_diagnostics(labels: DataFrame, negatives: DataFrame) -> DataFrame:
