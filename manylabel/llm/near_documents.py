@@ -7,6 +7,11 @@ texts, how many bands from the wanted recall at the threshold. A bucket gives a
 over the pairs found, nearest pairs first. A link whose distance leaves the similarity in doubt is
 checked against both texts' shingle sets; the others are far enough inside the threshold.
 
+A forest link that fails may have stood in the place of a true one. So buckets are looked through
+again: rows within the radius of a row of another component meet in their buckets with their
+texts, and there every pair of different components is checked, in the first band it agrees in.
+Pairs never become rows; a bucket gives a spanning forest over the pairs that passed.
+
 Similarity is the share of common shingles among all shingles of two texts. Defined results: null
 and empty texts equal each other; a text shorter than a shingle is one shingle; a null id takes no
 part.
@@ -94,40 +99,103 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
-def _linked(radius: int, sure: int):
-    keys = ["part", "value", "lo", "hi"]
+UNIT = ["part", "value", "lo", "hi"]
 
-    def link(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
-        ids = rows.column("id").to_numpy()
-        words = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(len(rows), -1)
-        mine, lo, hi = (rows.column(c).to_numpy() for c in ("mine", "lo", "hi"))
-        group = np.searchsorted(starts, np.arange(len(rows)), "right")
-        out = []
-        cuts = [0]
-        for i in range(1, len(starts)):  # whole units, about 1,024 rows at a time
-            if starts[i] - starts[cuts[-1]] >= 2 * BLOCK or i == len(starts) - 1:
-                cuts.append(i)
-        for c, e in zip(cuts[:-1], cuts[1:]):
-            part = np.arange(starts[c], starts[e])
-            inside, asked = part[mine[part] == lo[part]], part[mine[part] == hi[part]]
-            forest = Forest(words[inside], group[inside])
-            root = np.array([forest.roots.get(g, -1) for g in group[asked].tolist()], np.int64)
-            asked, root = asked[root >= 0], root[root >= 0]
-            found = list(forest.within(words[asked], root, radius))
-            if not found:
-                continue
-            q, node, d = (np.concatenate(x) for x in zip(*found))
+
+def _near(rows: pa.RecordBatch, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some whole units' rows, and the pairs among them of different components within the radius."""
+    words = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(len(rows), -1)
+    mine, lo, hi, component = (rows.column(c).to_numpy() for c in ("mine", "lo", "hi", "component"))
+    group = np.searchsorted(starts, np.arange(len(rows)), "right")
+    cuts = [0]
+    for i in range(1, len(starts)):  # whole units, about 1,024 rows at a time
+        if starts[i] - starts[cuts[-1]] >= 2 * BLOCK or i == len(starts) - 1:
+            cuts.append(i)
+    for c, e in zip(cuts[:-1], cuts[1:]):
+        part = np.arange(starts[c], starts[e])
+        inside, asked = part[mine[part] == lo[part]], part[mine[part] == hi[part]]
+        forest = Forest(words[inside], group[inside])
+        root = np.array([forest.roots.get(g, -1) for g in group[asked].tolist()], np.int64)
+        asked, root = asked[root >= 0], root[root >= 0]
+        found = []
+        for q, node, d in forest.within(words[asked], root, radius):
             a, b = asked[q], inside[node]
-            keep = a != b
-            a, b, d = a[keep] - part[0], b[keep] - part[0], d[keep]
+            keep = (component[a] != component[b]) & ((a < b) | (mine[a] != mine[b]))
+            found.append((a[keep] - part[0], b[keep] - part[0], d[keep]))
+        if any(len(x[0]) for x in found):
+            yield part, *(np.concatenate(x) for x in zip(*found))
+
+
+def _linked(radius: int, sure: int):
+    def link(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
+        ids, out = rows.column("id").to_numpy(), []
+        for part, a, b, d in _near(rows, starts, radius):
             pick = spanning(len(part), a, b, d)
-            out.append((ids[part[0] + a[pick]], ids[part[0] + b[pick]], d[pick] <= sure))
+            out.append((ids[part[a[pick]]], ids[part[b[pick]]], d[pick] <= sure))
         if not out:
             return None
         a, b, certain = (np.concatenate(x) for x in zip(*out))
         return pa.record_batch({"a": np.maximum(a, b), "b": np.minimum(a, b), "sure": certain})
 
-    return lambda batches: by_unit(batches, keys, link)
+    return lambda batches: by_unit(batches, UNIT, link)
+
+
+def _apart(radius: int):
+    """The units' rows within the radius of a row of another component."""
+
+    def apart(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
+        open_ = [part[np.unique(np.concatenate([a, b]))] for part, a, b, _ in _near(rows, starts, radius)]
+        return rows.select([*UNIT, "mine", "id"]).take(pa.array(np.concatenate(open_))) if open_ else None
+
+    return lambda batches: by_unit(batches, UNIT, apart)
+
+
+def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of each pair ``(a, b)``, sorted by ``a``, are at least ``similarity`` alike."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(place) + 1, bool)
+    common = np.zeros(len(a), np.int64)
+    bounds = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
+    for c, e in zip(bounds[:-1], bounds[1:]):
+        own = place[at[a[c]] : at[a[c] + 1]]
+        mark[own] = True
+        common[c:e] = [np.count_nonzero(mark[place[at[x] : at[x + 1]]]) for x in b[c:e]]
+        mark[own] = False
+    return common >= similarity * (size[a] + size[b] - common)
+
+
+def _confirmed(radius: int, shingle: int, similarity: float):
+    """A spanning forest over the units' pairs of different components that are alike."""
+
+    def confirm(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
+        ids, part_no, out = rows.column("id").to_numpy(), rows.column("part").to_numpy(), []
+        bands = rows.column("bands").flatten().to_numpy().reshape(len(rows), -1)
+        for part, a, b, d in _near(rows, starts, radius):
+            here = part_no[part[a]]
+            first = np.concatenate([
+                (bands[part[a[i : i + 65536]]] == bands[part[b[i : i + 65536]]]).argmax(axis=1) for i in range(0, len(a), 65536)
+            ]) == here
+            order = np.flatnonzero(first)[np.argsort(a[first], kind="stable")]
+            a, b, d = a[order], b[order], d[order]
+            used = np.zeros(len(part), bool)
+            used[a] = used[b] = True
+            none = np.zeros(0, np.uint64)
+            sets = [
+                np.unique(shingle_hashes((t.as_py() or "").encode(), shingle)) if u else none
+                for u, t in zip(used, rows.column("text").slice(part[0], len(part)))
+            ]
+            keep = alike(sets, a, b, similarity)
+            a, b, d = a[keep], b[keep], d[keep]
+            pick = spanning(len(part), a, b, d)
+            out.append((ids[part[a[pick]]], ids[part[b[pick]]]))
+        if not out:
+            return None
+        a, b = (np.concatenate(x) for x in zip(*out))
+        return pa.record_batch({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return lambda batches: by_unit(batches, UNIT, confirm)
 
 
 def _checked(shingle: int, similarity: float):
@@ -153,20 +221,38 @@ def near_documents(
     edge = differing(similarity)
     slack = MARGIN * math.sqrt(edge * (1 - edge) / size)
     prints = stage(named.mapInArrow(_printed(shingle, bits, bands), "id long, print binary, bands array<int>"), "near-prints")
-    entries = prints.groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    spread = entries.select("id", F.substring("print", 1, SKETCH).alias("print"), F.posexplode("bands").alias("part", "value"))
-    linked = _linked(math.floor(size * (edge + slack)), math.floor(size * max(0.0, edge - slack)))
+    entries = stage(prints.groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "near-entries")
+    texts = named.groupBy("id").agg(F.min("text").alias("text"))
+    radius, sure = math.floor(size * (edge + slack)), math.floor(size * max(0.0, edge - slack))
+
+    def units(rows: DataFrame) -> DataFrame:
+        sketch = F.substring("print", 1, SKETCH).alias("print")
+        spread = rows.select("id", "component", sketch, F.posexplode("bands").alias("part", "value"))
+        return in_units(spread, ["part", "value"], "id", BLOCK)
+
     found = stage(
-        in_units(spread, ["part", "value"], "id", BLOCK).mapInArrow(linked, "a long, b long, sure boolean")
+        units(entries.withColumn("component", F.col("id"))).mapInArrow(_linked(radius, sure), "a long, b long, sure boolean")
         .groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-links",
     )
-    texts = named.groupBy("id").agg(F.min("text").alias("text"))
     doubt = found.filter(~F.col("sure"))
     pairs = doubt.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"
     ).select("a", "b", "x", "y")
     checked = pairs.mapInArrow(_checked(shingle, similarity), "a long, b long")
-    roots = components(found.filter("sure").select("a", "b").union(checked), label="near-components")
+    near = stage(found.filter("sure").select("a", "b").union(checked), "near-passed")
+    joined = stage(
+        entries.join(components(near, label="near-components"), "id", "left").select(
+            "id", "print", "bands", F.coalesce("component", "id").alias("component")
+        ), "near-joined",
+    )
+    apart = stage(
+        units(joined).mapInArrow(_apart(radius), "part int, value int, lo int, hi int, mine int, id long"), "near-apart"
+    )
+    whole = apart.join(joined.withColumn("print", F.substring("print", 1, SKETCH)), "id").join(texts, "id")
+    missed = whole.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(
+        _confirmed(radius, shingle, similarity), "a long, b long"
+    )
+    roots = components(near.union(missed), label="near-components")
     named_entries = entries.select("print", "id").join(roots, "id", "left").select(
         "print", F.coalesce("component", "id").alias("component")
     )

@@ -194,6 +194,47 @@ def test_near_documents(docs, rows):
     assert [got[i] for i in range(len(rows))] == components_of(len(rows), links)
 
 
+def family(similarity, n, words=400, seed=11):
+    """``n`` pages on one template, any two about ``similarity`` alike; a run of each is its own."""
+    rng = random.Random(seed)
+    fresh = lambda k: [f"{rng.getrandbits(40):x}" for _ in range(k)]
+    template, own = fresh(words), round(words * (1 - similarity) / (2 * (1 + similarity))) - 4
+    pages = []
+    for _ in range(n):
+        at = rng.randrange(words // 2 - own)
+        pages.append(template[:at] + fresh(own) + template[at + own :])
+    return pages, fresh
+
+
+def shingle_sets(pages):
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in pages]
+
+
+def near_components_of(spark, pages):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(pages)], "doc_id long, text string")
+    got = {r.key: r.component for r in near_documents.near_documents(df).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_true_links_among_noisy_ones_of_a_template(spark):
+    pages, fresh = family(0.7, 240)
+    for w in pages[:40]:
+        pages.append(w[:330] + fresh(26) + w[356:])  # 0.86 alike
+    sets = shingle_sets(pages)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = components_of(len(pages), links)
+    assert len(set(want)) < len(pages) - 30
+    assert near_components_of(spark, pages) == want
+
+
+def test_alike_counts_common_shingles():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 1, 40, 50, 60, 60)]
+    a, b = (x.ravel() for x in np.meshgrid(range(6), range(6), indexing="ij"))
+    want = [len({*sets[i]} & {*sets[j]}) >= 0.5 * len({*sets[i]} | {*sets[j]}) for i, j in zip(a, b)]
+    assert near_documents.alike(sets, a, b, 0.5).tolist() == want
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, copies int"
 
 
