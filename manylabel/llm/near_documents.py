@@ -4,8 +4,8 @@ A fingerprint of several 64-bit words over a text's set of word shingles estimat
 of two texts. Its bits are cut into bands; texts that agree in a band meet in a bucket, where a
 BK-tree finds those within the radius. How many bits a band takes follows from the number of
 texts, how many bands from the wanted recall at the threshold. A bucket gives a spanning forest
-over the pairs found, nearest pairs first. A link whose distance leaves the similarity in doubt is
-checked against both texts' shingle sets; the others are far enough inside the threshold.
+over the pairs found, nearest pairs first. Every link is checked against both texts' shingle sets;
+only exact copies of a text count as one without a check.
 
 A forest link that fails may have stood in the place of a true one. So buckets are looked through
 again: rows within the radius of a row of another component meet in their buckets with their
@@ -34,7 +34,7 @@ from manylabel.session import stage
 BLOCK = 512
 #: Bytes of a fingerprint that travel to the buckets, for the distance of two texts.
 SKETCH = 48
-#: Standard errors of the estimate on either side of the threshold.
+#: Standard errors of the estimate beyond the threshold within which pairs are looked at.
 MARGIN = 3.0
 
 
@@ -72,7 +72,7 @@ def _printed(shingle: int, bits: int, bands: int):
             flat = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : bits * bands]
             values = (flat.reshape(len(prints), bands, bits) * scale).sum(axis=2).astype(np.int32)
             yield pa.record_batch({
-                "id": rows.column("id"), "print": pa.array([p.tobytes() for p in prints], pa.binary()),
+                "id": rows.column("id"), "copy": rows.column("copy"), "print": pa.array([p.tobytes() for p in prints], pa.binary()),
                 "bands": pa.ListArray.from_arrays(np.arange(0, values.size + 1, bands, dtype=np.int32), values.ravel()),
             })
 
@@ -126,16 +126,16 @@ def _near(rows: pa.RecordBatch, starts: np.ndarray, radius: int) -> Iterator[tup
             yield part, *(np.concatenate(x) for x in zip(*found))
 
 
-def _linked(radius: int, sure: int):
+def _linked(radius: int):
     def link(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
         ids, out = rows.column("id").to_numpy(), []
         for part, a, b, d in _near(rows, starts, radius):
             pick = spanning(len(part), a, b, d)
-            out.append((ids[part[a[pick]]], ids[part[b[pick]]], d[pick] <= sure))
+            out.append((ids[part[a[pick]]], ids[part[b[pick]]]))
         if not out:
             return None
-        a, b, certain = (np.concatenate(x) for x in zip(*out))
-        return pa.record_batch({"a": np.maximum(a, b), "b": np.minimum(a, b), "sure": certain})
+        a, b = (np.concatenate(x) for x in zip(*out))
+        return pa.record_batch({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return lambda batches: by_unit(batches, UNIT, link)
 
@@ -215,15 +215,22 @@ def near_documents(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, recall: float = 0.99, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """``(key, component)``: the smallest id reachable over texts at least ``similarity`` alike."""
-    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     bits, bands = band_sizes(named.count(), similarity, recall)
     size = min(8 * SKETCH, 64 * -(-bits * bands // 64))
     edge = differing(similarity)
     slack = MARGIN * math.sqrt(edge * (1 - edge) / size)
-    prints = stage(named.mapInArrow(_printed(shingle, bits, bands), "id long, print binary, bands array<int>"), "near-prints")
-    entries = stage(prints.groupBy("print").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "near-entries")
-    texts = named.groupBy("id").agg(F.min("text").alias("text"))
-    radius, sure = math.floor(size * (edge + slack)), math.floor(size * max(0.0, edge - slack))
+    prints = stage(
+        named.withColumn("copy", F.unhex(F.md5("text"))).mapInArrow(
+            _printed(shingle, bits, bands), "id long, copy binary, print binary, bands array<int>"
+        ), "near-prints",
+    )
+    entries = stage(
+        prints.groupBy("copy").agg(F.min("id").alias("id"), F.first("print").alias("print"), F.first("bands").alias("bands")),
+        "near-entries",
+    )
+    texts = named.groupBy("id").agg(F.collect_set("text").alias("texts")).select("id", F.explode("texts").alias("text"))
+    radius = math.floor(size * (edge + slack))
 
     def units(rows: DataFrame) -> DataFrame:
         sketch = F.substring("print", 1, SKETCH).alias("print")
@@ -231,15 +238,12 @@ def near_documents(
         return in_units(spread, ["part", "value"], "id", BLOCK)
 
     found = stage(
-        units(entries.withColumn("component", F.col("id"))).mapInArrow(_linked(radius, sure), "a long, b long, sure boolean")
-        .groupBy("a", "b").agg(F.max("sure").alias("sure")), "near-links",
+        units(entries.withColumn("component", F.col("id"))).mapInArrow(_linked(radius), "a long, b long").distinct(), "near-links"
     )
-    doubt = found.filter(~F.col("sure"))
-    pairs = doubt.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
+    pairs = found.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"
     ).select("a", "b", "x", "y")
-    checked = pairs.mapInArrow(_checked(shingle, similarity), "a long, b long")
-    near = stage(found.filter("sure").select("a", "b").union(checked), "near-passed")
+    near = stage(pairs.mapInArrow(_checked(shingle, similarity), "a long, b long"), "near-passed")
     joined = stage(
         entries.join(components(near, label="near-components"), "id", "left").select(
             "id", "print", "bands", F.coalesce("component", "id").alias("component")
@@ -253,7 +257,7 @@ def near_documents(
         _confirmed(radius, shingle, similarity), "a long, b long"
     )
     roots = components(near.union(missed), label="near-components")
-    named_entries = entries.select("print", "id").join(roots, "id", "left").select(
-        "print", F.coalesce("component", "id").alias("component")
+    named_entries = entries.select("copy", "id").join(roots, "id", "left").select(
+        "copy", F.coalesce("component", "id").alias("component")
     )
-    return prints.select(F.col("id").alias("key"), "print").join(named_entries, "print").select("key", "component")
+    return prints.select(F.col("id").alias("key"), "copy").join(named_entries, "copy").select("key", "component")

@@ -227,6 +227,16 @@ def test_true_links_among_noisy_ones_of_a_template(spark):
     assert near_components_of(spark, pages) == want
 
 
+def test_nearest_looking_pair_of_a_template_is_checked(spark):
+    pages, _ = family(0.77, 250)
+    prints = np.array([near_documents.wide_print(simhash.shingle_hashes(" ".join(w).encode(), 5), 2) for w in pages])
+    sets = shingle_sets(pages)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) < 0.79 * len(sets[i] | sets[j])]
+    i, j = np.array(pairs).T
+    best = np.argmin(simhash.distance(prints[i], prints[j]))
+    assert near_components_of(spark, [pages[i[best]], pages[j[best]]]) == [0, 1]
+
+
 def test_alike_counts_common_shingles():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 1, 40, 50, 60, 60)]
