@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import language_filters, line_dedup, packing, simhash, stable_hashing, suffix_dedup, toxicity, tree_search, viterbi, window_dedup
+from manylabel.llm import chat_trees, language_filters, line_dedup, packing, simhash, stable_hashing, suffix_dedup, toxicity, tree_search, viterbi, window_dedup
 from manylabel.plans.registry import query
 from manylabel.session import stage
 
@@ -97,3 +97,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = language_filters.fit_filters(docs.filter(~held_out))
     scored = language_filters.predict_language(docs, filters)
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+#: A conversation whose texts are control strings; it is formatted with the others.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op13_chat_trees", f"""WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(role, '') AS r, text, coalesce(text, '') AS t FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length('<|im_end|>') + 2 + length(regexp_replace(t, '<(\\\\*)\\|', '<\\1\\\\|', 'g'))
+    + length(regexp_replace(replace(replace(r, '\\', '\\s'), chr(10), '\\n'), '<(\\\\*)\\|', '<\\1\\\\|', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations, each a reply tree of one branch, read back from the output."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL).alias("text")
+    )
+    chains = chat_trees.as_chains(rows.unionByName(control))
+    formatted = chat_trees.format_trees(chains, score=None, unique=True)
+    turns = chat_trees.read_turns(F.col("formatted"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(chat_trees.read_loss(F.col("formatted"), F.col("loss_spans")), "")
+    return formatted.withColumn("turns", turns).withColumn("loss", loss).select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
