@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manylabel.llm import chat_trees, hard_negatives, language_filters, line_dedup, packing, simhash, stable_hashing, suffix_dedup, toxicity, tree_search, viterbi, window_dedup
+from manylabel.llm import chat_trees, hard_negatives, language_filters, line_dedup, packing, simhash, spelling_groups, stable_hashing, suffix_dedup, toxicity, tree_search, viterbi, window_dedup
 from manylabel.plans.registry import query
 from manylabel.session import stage
 
@@ -99,6 +99,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_spelling_groups")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some with a letter lost, grouped under their frequent spellings."""
+    words = stage(spelling_groups.count_words(table(spark, sf_dir, "documents"), noise=97), "word-counts")
+    return spelling_groups.group_words(words)
+
+
 @query("op12_hard_negatives", """WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
