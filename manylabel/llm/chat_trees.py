@@ -94,36 +94,35 @@ def _messages(messages: DataFrame, names: dict[str, str], unique: bool) -> DataF
 
 
 def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Ancestors ``1, 2, 4, ...`` steps up, and ``(node, steps, total)`` of every whole path."""
+    """``(node, jump)``, ancestors ``1, 2, 4, ...`` steps up, and ``(node, steps, total)`` of every
+    whole path. Only messages that have not reached their root go on to the next round."""
     upper = nodes.select(F.col("tree").alias("tree_"), F.col("message").alias("message_"), F.col("node").alias("jump"))
     same = F.col("tree").eqNullSafe(F.col("tree_")) & (F.col("parent") == F.col("message_"))
     first = nodes.join(upper, same, "left").select(
         "node", "jump", F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")
     )
-    levels = [stage(first, "jumps")]
+    at = stage(first, "jumps")
+    levels, whole = [], at.filter("jump IS NULL")
     rounds = math.ceil(math.log2(max(nodes.count(), 1))) + 1
-    while len(levels) <= rounds and not levels[-1].filter("jump IS NOT NULL").isEmpty():
-        at = levels[-1]
-        ahead = at.select(
-            F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("steps").alias("more"),
-            F.col("total").alias("gain"),
+    while len(levels) <= rounds and not (going := at.filter("jump IS NOT NULL")).isEmpty():
+        levels.append(going.select("node", "jump"))
+        ahead = whole.unionByName(going).select(
+            F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("steps").alias("more"), F.col("total").alias("gain")
         )
-        doubled = at.join(ahead, "jump", "left").select(
-            "node", F.col("next").alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total"),
-        )
-        levels.append(stage(doubled, "jumps"))
-    whole = levels[-1].filter("jump IS NULL").select("node", "steps", "total")
-    return levels[:-1], whole
+        at = stage(going.join(ahead, "jump").select(
+            "node", F.col("next").alias("jump"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("gain")).alias("total")
+        ), "jumps")
+        whole = whole.unionByName(at.filter("jump IS NULL"))
+    return levels, whole.select("node", "steps", "total")
 
 
 def reply_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     """``(tree, branch, score, leaf, node, place)``: the messages of the chosen paths in order."""
     levels, whole = _jumps(nodes)
-    parents = (levels[0] if levels else nodes.select("node", F.lit(None).cast("long").alias("jump"))).filter(
-        "jump IS NOT NULL"
-    ).select(F.col("jump").alias("node"))
-    leaves = nodes.select("node", "tree", "message").join(parents, "node", "left_anti").join(whole, "node")
+    leaves = nodes.select("node", "tree", "message")
+    if levels:
+        leaves = leaves.join(levels[0].select(F.col("jump").alias("node")), "node", "left_anti")
+    leaves = leaves.join(whole, "node")
     scored = leaves.withColumn("score", F.col("total") / F.col("steps"))
     order = [F.col("score").desc(), F.col("message")]
     if branches is None:
@@ -139,7 +138,7 @@ def reply_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         here = F.struct(F.col("node").alias("node"), F.col("above").alias("above"))
         there = F.struct(F.col("jump").alias("node"), (F.col("above") + F.lit(1 << k)).alias("above"))
         both = F.when(F.col("jump").isNull(), F.array(here)).otherwise(F.array(here, there))
-        paths = paths.join(levels[k].select("node", "jump"), "node", "left").select(
+        paths = paths.join(levels[k], "node", "left").select(
             "tree", "branch", "score", "steps", "leaf", F.inline(both)
         )
     return paths.select(
