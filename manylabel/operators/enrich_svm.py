@@ -34,11 +34,12 @@ def signs(y: str = "y") -> Column:
 
 
 def one_vs_rest_margins(
-    features: DataFrame, labels: DataFrame, ids: DataFrame, q: int, c: float = 0.3
+    features: DataFrame, labels: DataFrame, ids: DataFrame, q: int, c: float = 0.3,
+    tol: float = svm.TOLERANCE, digits: int = 6,
 ) -> DataFrame:
     """``(id, m)``: one binary SVM per class, fitted and scored on the same rows."""
     targets = stage(to_matrix(labels, q, ids).select("id", signs().alias("s")), "targets")
-    return svm.fit(features, targets, c).margins(features, ids)
+    return svm.fit(features, targets, c, tol).margins(features, ids, digits)
 
 
 def naive_well(

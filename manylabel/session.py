@@ -105,15 +105,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 class LoopState:
     """The staged state of a loop; each new state removes the one before it."""
 
-    def __init__(self, spark: SparkSession, label: str = "loop"):
+    def __init__(self, spark: SparkSession, label: str = "loop", compression: str = "snappy"):
         self.spark = spark
         self.label = label
+        self.compression = compression
         self.path = None
 
     def put(self, df: DataFrame) -> DataFrame:
         before, self.path = self.path, f"{staging_root(self.spark)}/{self.label}-{uuid.uuid4().hex}"
         made(self.path)
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, compression=self.compression)
         if before:
             remove(self.spark, before)
         return self.spark.read.schema(df.schema).parquet(self.path)
@@ -126,16 +127,18 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def stage_by_key(
-    df: DataFrame, key: str = "id", label: str = "keyed", placed: bool = False
+    df: DataFrame, key: str = "id", label: str = "keyed", placed: bool = False,
+    width: int | None = None,
 ) -> DataFrame:
     """Like :func:`stage`, but bucketed by ``key``.
 
     Later joins and aggregates on ``key`` read this table without shuffling it; only the
-    other side moves. ``placed`` says that ``df`` is hash-partitioned by ``key`` already.
+    other side moves. ``placed`` says that ``df`` is hash-partitioned by ``key`` already;
+    ``width`` is the number of buckets, else that of shuffle partitions.
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    width = shuffle_width(spark)
+    width = width or shuffle_width(spark)
     made(f"{staging_root(spark)}/{name}", name)
     (
         (df if placed else df.repartition(width, key))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from manylabel.functions.labels import to_matrix
-from manylabel.operators import bayes, enrich, enrich_svm, laplacian, svm
+from manylabel.operators import bayes, enrich, enrich_svm, laplacian, svm, tiles
 from manylabel.session import stage
 
 N, D, Q = 60, 15, 3
@@ -150,12 +150,17 @@ def test_iteration_reaches_a_stable_labelling(data):
     assert np.allclose(got, m, atol=2e-5)
 
 
-@pytest.mark.parametrize("dense", [1 << 20, 0])
-def test_svm_gradient_vanishes(data, dense):
+@pytest.mark.parametrize("pieces", [None, (100, 8 * 3 * 16)])
+def test_svm_gradient_vanishes(data, monkeypatch, pieces):
+    if pieces:  # many blocks of rows, and sums of their parts in two rounds
+        monkeypatch.setattr(tiles, "BLOCK_ENTRIES", pieces[0])
+        monkeypatch.setattr(tiles, "PIECE_BYTES", pieces[1])
+        monkeypatch.setattr(tiles, "LEAST_SPAN", 4)
+        monkeypatch.setattr(tiles, "FAN", 3)
     targets = stage(
         to_matrix(data["pos"], Q, data["ids"]).select("id", enrich_svm.signs().alias("s")))
     costs = [0.3, 1.0, 3.0]
-    model = svm.fit(data["feats"], targets, costs, tol=1e-7, dense_bytes=dense)
+    model = svm.fit(data["feats"], targets, costs, tol=1e-7)
     rows = {r["term"]: r["w"] for r in model.weights.collect()}
     names = [f"t{j:02d}" for j in range(D)] + [""]
     w = np.array([rows.get(n, [0.0] * Q) for n in names])
