@@ -12,7 +12,7 @@ holds some tens of megabytes at any size of the matrix, and the driver holds no
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,14 +53,14 @@ class Tile:
 
     def times(self, v: np.ndarray, n: int) -> np.ndarray:
         """``X v`` for ``n`` rows."""
-        return _summed(self.rows, self.cols, self.data, v, n)
+        return _gathered(self.rows, self.cols, self.data, v, n)
 
     def turned(self, a: np.ndarray, n: int) -> np.ndarray:
         """``X' a`` for ``n`` terms."""
-        return _summed(self.cols[self.turn], self.rows[self.turn], self.data[self.turn], a, n)
+        return _gathered(self.cols[self.turn], self.rows[self.turn], self.data[self.turn], a, n)
 
 
-def _summed(to: np.ndarray, of: np.ndarray, data: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+def _gathered(to: np.ndarray, of: np.ndarray, data: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """``out[to] += data * v[of]`` for sorted ``to``."""
     out = np.zeros((n, v.shape[1]))
     if len(to):
@@ -185,3 +185,34 @@ def total(parts: DataFrame, key: str, count: int) -> DataFrame:
         grouped = parts.withColumn("part", F.col("part") % F.lit(count)).groupBy(key, "part")
         parts = grouped.applyInArrow(add, f"{key} int, part int, v binary")
     return parts.select(key, "v")
+
+
+def map_blocks(df: DataFrame, key: str, names: Sequence[str], work: Callable, sums: bool = False) -> DataFrame:
+    """Apply ``work(row)``, which returns a dict of matrices ``names``, to every row of binaries.
+
+    With ``sums``, ``work`` also returns a list of numbers under ``sums``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                out = work(row)
+                cells = {key: pa.array([row[key].as_py()], pa.int32())}
+                cells |= {n: pa.array([np.ascontiguousarray(out[n]).tobytes()], pa.binary()) for n in names}
+                if sums:
+                    flat = [float(x) for x in np.concatenate([np.ravel(v) for v in out["sums"]])]
+                    cells["sums"] = pa.array([flat], pa.list_(pa.float64()))
+                yield pa.record_batch(cells)
+
+    kinds = [f"{key} int", *(f"{n} binary" for n in names), *(["sums array<double>"] if sums else [])]
+    return df.mapInArrow(run, ", ".join(kinds))
+
+
+def summed(state: DataFrame, tasks: int) -> np.ndarray:
+    """The summed numbers of all pieces, a row for each kind and a column for each task."""
+    found = state.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(max((r["i"] for r in found), default=-1) + 1)
+    for r in found:
+        out[r["i"]] = r["v"]
+    return out.reshape(-1, tasks)
