@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from manylabel.functions.labels import to_matrix
-from manylabel.operators import bayes, enrich, enrich_svm, laplacian, svm, tiles
+from manylabel.operators import bayes, enrich, enrich_svm, kernels, laplacian, svm, tiles
 from manylabel.session import stage
 
 N, D, Q = 60, 15, 3
@@ -243,3 +243,39 @@ def test_smoothing_against_enumeration(data, alpha, beta, gamma):
             if best is None or value < best[0]:
                 best = (value, f)
         assert {i for i, j in got if j == k} == set(np.flatnonzero(best[1]))
+
+
+def test_weights_are_solved_together(data, monkeypatch):
+    """Many small tiles give the labels that each weight alone gives."""
+    rows, g = laplacian.kernel_rows(data["feats"], data["ids"], 1e-3)
+    alphas = (0.0, 0.01, 1.0, 100.0)
+    alone = {
+        a: np.array([r["x"] for r in laplacian.relax(data["feats"], rows, data["pos"], Q, a, 50, g).orderBy("id").collect()])
+        for a in (0.0, 1.0)
+    }
+    for name, value in (("BLOCK_ENTRIES", 60), ("LEAST_SPAN", 4), ("PIECE_BYTES", 8 * Q * 4 * 16), ("FAN", 3)):
+        monkeypatch.setattr(tiles, name, value)
+    x = np.array([r["x"] for r in laplacian.relax_weights(data["feats"], rows, data["pos"], Q, alphas, 50, g).orderBy("id").collect()])
+    assert x.shape == (N, Q * len(alphas))
+    for i, a in enumerate(alphas):
+        if a in alone:
+            assert np.allclose(x[:, i * Q : (i + 1) * Q], alone[a], atol=1e-8)
+
+
+def test_first_order_kernel_refuses_a_large_gamma(data):
+    with pytest.raises(ValueError, match="too large"):
+        laplacian.kernel_rows(data["feats"], data["ids"], 0.5)
+
+
+@pytest.mark.parametrize("sizes", [None, (7, 20, 4)])
+def test_exact_kernel(spark, data, monkeypatch, sizes):
+    if sizes:
+        for name, value in zip(("BLOCK_ROWS", "BLOCK_ENTRIES", "TERMS"), sizes):
+            monkeypatch.setattr(kernels, name, value)
+    a = np.random.default_rng(1).normal(size=(N, 2))
+    values = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id long, a array<double>")
+    got = np.array([r["u"] for r in kernels.rbf_times(data["feats"], values, 0.7).orderBy("id").collect()])
+    x = data["x"]
+    square = ((x[:, None] - x[None]) ** 2).sum(-1)
+    assert np.allclose(got, np.exp(-0.7 * square) @ a, atol=1e-9)
+    assert kernels.rbf_times(data["feats"], values.limit(0), 0.7).count() == 0
