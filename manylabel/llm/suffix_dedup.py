@@ -43,35 +43,40 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     n = len(codes)
     if n < 2:
         return np.arange(n)
-    bits = n.bit_length()
-    base = int(codes.max()) + 2  # 0 stands for the places behind the end
+    bits, kind = n.bit_length(), np.int32 if n < 1 << 31 else np.int64
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    dense = np.cumsum(used).astype(np.uint64)  # 0 stands for the places behind the end
+    base = int(dense[-1]) + 1
     length = max(1, int((64 - bits) / np.log2(base)))
     wide = np.zeros(n + length, np.uint64)
-    wide[:n] = codes
-    wide[:n] += np.uint64(1)
-    key = np.zeros(n, np.uint64)
-    for j in range(length):
-        key = key * np.uint64(base) + wide[j : n + j]
+    wide[:n] = dense[codes]
+    packed = wide[:n].copy()
+    for j in range(1, length):
+        packed *= np.uint64(base)
+        packed += wide[j : n + j]
     mask, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
-    packed = key << shift | np.arange(n, dtype=np.uint64)
+    packed <<= shift
+    packed |= np.arange(n, dtype=np.uint64)
     packed.sort()
-    suffixes = (packed & mask).astype(np.int64)
+    suffixes = (packed & mask).astype(kind)
     packed >>= shift
     fresh = np.ones(n, bool)
     fresh[1:] = packed[1:] != packed[:-1]
-    rank = np.zeros(n + 1, np.int64)
-    slots = np.arange(n)
-    rank[suffixes] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
-    open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    rank = np.zeros(n + 1, kind)
+    rank[suffixes] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=kind), 0)) + 1
+    open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True))).astype(kind)
     h = length
     while len(open_):
         at = suffixes[open_]
-        second = rank[np.minimum(at + h, n)]
-        first = rank[at]
+        first, second = rank[at], rank[np.minimum(at.astype(np.int64) + h, n)]
         if 3 * bits <= 64:
-            packed = (first.astype(np.uint64) << shift | second.astype(np.uint64)) << shift | at.astype(np.uint64)
+            packed = first.astype(np.uint64)
+            for part in (second, at):
+                packed <<= shift
+                packed |= part.astype(np.uint64)
             packed.sort()
-            at = (packed & mask).astype(np.int64)
+            at = (packed & mask).astype(kind)
             packed >>= shift
             changed = packed[1:] != packed[:-1]
         else:
@@ -84,7 +89,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         rank[at] = np.maximum.accumulate(np.where(fresh, open_, 0)) + 1
         open_ = open_[~(fresh & np.append(fresh[1:], True))]
         h *= 2
-    return suffixes
+    return suffixes.astype(np.int64)
 
 
 def common_prefixes(codes: np.ndarray, suffixes: np.ndarray, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
