@@ -11,8 +11,9 @@ cut into blocks by a hash of the id, and many queries into chunks, so no task ho
 block of rows and a chunk of queries. Each query keeps its best few in each block.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part;
-ties go to the smaller id; rows of one id should hold one vector and count once; an empty table
-gives an empty result.
+ties go to the smaller id; rows of one id should hold one vector and count once, as queries and as
+neighbours (of several query vectors under one id the least counts); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -208,7 +209,7 @@ def search(
     spark = vectors.sparkSession
     named = [F.col(key).cast("long").alias("id"), F.col(column).alias("vector")]
     rows = usable(vectors, column).filter(F.col(key).isNotNull()).select(named)
-    asked = usable(queries, column).filter(F.col(key).isNotNull()).select(named)
+    asked = usable(queries, column).filter(F.col(key).isNotNull()).select(named).groupBy("id").agg(F.min("vector").alias("vector"))
     n, n_asked = rows.count(), asked.count()
     chunks = max(1, -(-n_asked // BLOCK))
     empty = "query_id long, rank int, vec_id long, score double"

@@ -291,6 +291,16 @@ def test_tree_search(spark, vectors):
     assert [v for _, v, _ in got[140]] == [7, 141, 142, 143, 144]
 
 
+def test_repeated_query_rows_count_once(spark, vectors):
+    df = spark.createDataFrame(vectors + vectors[:40], VECTORS).repartition(3)
+    got = collections.defaultdict(list)
+    for r in tree_search.search(df, df.filter("vec_id % 10 = 0"), branching=4, leaf_rows=16).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert set(got) == set(range(0, 260, 10))
+    for found in got.values():
+        assert sorted(r for r, _ in found) == [1, 2, 3, 4, 5] and len({v for _, v in found}) == 5
+
+
 def test_viterbi_equals_plain_search_and_round_trips(docs, rows):
     vocabulary = viterbi.load_vocabulary(VOCABULARY)
     rng = random.Random(1)
