@@ -7,7 +7,8 @@ in the order of all suffixes still repeated, since lists merge in ranges of the
 are numbered through. Suffixes with a unique prefix drop out. After the last step, suffixes of one
 rank are an interval of the suffix array whose common prefix has at least ``min_lines`` lines: a
 repeated run. Its earliest place (by id, then line) stays; the lines of all later places go, so
-maximal runs go as one piece.
+maximal runs go as one piece. A repeated line of at least ``long_line`` bytes is a run by itself,
+whatever stands beside it.
 
 Lines end at 0x0A. Defined results: a null text stays null with zero lines, an empty text has zero
 lines; a null id counts as the largest; rows of one id never remove each other's lines at the same
@@ -27,6 +28,8 @@ from manylabel.llm.batches import pieces, utf8
 from manylabel.llm.exchange import SENT, Shards, merged, prefix_hash, range_hash, sent
 
 LAST = np.iinfo(np.int64).max
+#: Bytes from which a repeated line counts without a repeated neighbour (some ten words).
+LONG_LINE = 64
 BYTE_VALUES = np.random.default_rng(411).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
@@ -123,19 +126,21 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def remove_repeated_lines(
     docs: DataFrame, min_lines: int = 2, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False,
+    long_line: int | None = None,
 ) -> DataFrame:
-    """``keep`` columns, ``n_lines``, ``n_removed`` and ``kept_sha256`` of what stays.
+    """``keep`` columns, ``n_lines``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of what stays.
 
-    ``with_text`` adds ``kept_text``, the lines that stay.
+    Runs have at least ``min_lines`` lines, or one line of ``long_line`` bytes (null: never one
+    line). ``n_spans`` counts the maximal runs of removed lines. ``with_text`` adds ``kept_text``, the lines that stay.
     """
     shards = Shards(docs.select(*dict.fromkeys([*keep, key, text])), text, label="lines")
     parts = shards.parts(shards.n_bytes / 40)
     doublings = steps(min_lines)
     ranges: list[np.ndarray] = []
 
-    def state(lines: Lines, answers: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (0: unique) and group size of each suffix after the answered steps."""
-        rank = size = None
+    def state(lines: Lines, answers: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank (0: unique) and group size of each suffix after the answered steps, and its line's rank."""
+        rank = size = alone = None
         for level in range(len(ranges)):
             live, first, back, keys = ask(lines, level, rank, size)
             rank, size = np.zeros(len(lines.hashes), np.int64), np.zeros(len(lines.hashes), np.int64)
@@ -146,7 +151,8 @@ def remove_repeated_lines(
                 many = np.concatenate([x[len(x) // 2 :] for x in got])
                 found = np.where(many > 0, found + ranges[level][part], 0)
                 rank[live], size[live] = found[back], many[back]
-        return rank, size
+            alone = rank if level == 0 else alone
+        return rank, size, alone
 
     def ask(lines: Lines, level: int, rank, size):
         """Suffixes to rank at ``level``, one of each distinct entry, and the entries' keys."""
@@ -167,7 +173,7 @@ def remove_repeated_lines(
 
         def send(shard: int, rows: pa.StructArray, answers: dict, level=level) -> Iterator[pa.RecordBatch]:
             lines = Lines(rows, text, key)
-            rank, size = state(lines, answers)
+            rank, size, _ = state(lines, answers)
             live, first, back, keys = ask(lines, level, rank, size)
             if not len(live):
                 return
@@ -188,36 +194,47 @@ def remove_repeated_lines(
     final = len(doublings) + 1
 
     def places(lines: Lines, answers: dict):
-        """Suffixes in repeated runs, by rank; the earliest of each rank in this shard."""
-        rank, _ = state(lines, answers)
-        live = np.flatnonzero(rank > 0)
-        order = live[np.lexsort([lines.number[live], lines.document[live], rank[live]])]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = rank[order[1:]] != rank[order[:-1]]
-        return rank, order, fresh
-
-    def mixed(rank: np.ndarray) -> np.ndarray:
-        return (rank.astype(np.float64) * (2.0**63 / (int(ranges[-1][-1]) + 1))).astype(np.uint64) * np.uint64(2)
+        """Starts of repeated runs in the order of run, id and line: suffix, run, length, and whether the run is new.
+
+        Runs of one line are numbered behind those of ``min_lines``.
+        """
+        rank, _, alone = state(lines, answers)
+        at = np.flatnonzero(rank > 0)
+        run, length = rank[at], np.full(len(at), min_lines)
+        if long_line is not None and min_lines > 1:
+            single = np.flatnonzero((alone > 0) & (lines.ends - lines.starts >= long_line))
+            at = np.concatenate([at, single])
+            run = np.concatenate([run, alone[single] + ranges[-1][-1]])
+            length = np.concatenate([length, np.ones(len(single), np.int64)])
+        order = np.lexsort([lines.number[at], lines.document[at], run])
+        at, run, length = at[order], run[order], length[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = run[1:] != run[:-1]
+        return at, run, length, fresh
+
+    def mixed(run: np.ndarray) -> np.ndarray:
+        total = int(ranges[-1][-1]) + int(ranges[0][-1]) + 1
+        return (run.astype(np.float64) * (2.0**63 / total)).astype(np.uint64) * np.uint64(2)
 
     def earliest(shard: int, rows: pa.StructArray, answers: dict) -> Iterator[pa.RecordBatch]:
         lines = Lines(rows, text, key)
-        rank, order, fresh = places(lines, answers)
-        at = order[fresh]
-        yield from sent(shard, final, parts, mixed(rank[at]), rank[at].astype(np.uint64), lines.document[at], lines.number[at])
+        at, run, _, fresh = places(lines, answers)
+        lead, name = at[fresh], run[fresh]
+        yield from sent(shard, final, parts, mixed(name), name.astype(np.uint64), lines.document[lead], lines.number[lead])
 
     replies = replies.unionByName(merged(shards.run(earliest, SENT, replies), _first))
 
     def last(shard: int, rows: pa.StructArray, answers: dict) -> Iterator[pa.RecordBatch]:
         lines = Lines(rows, text, key)
-        rank, order, fresh = places(lines, answers)
+        at, _, length, fresh = places(lines, answers)
         gone = np.zeros(len(lines.hashes) + 1, np.int64)
-        if len(order):
-            at = order[fresh]
-            lead = at[np.cumsum(fresh) - 1]
-            later = np.frombuffer(b"".join(answers[final]), np.uint8)[np.cumsum(fresh) - 1] > 0
-            later |= (lines.document[order] != lines.document[lead]) | (lines.number[order] != lines.number[lead])
-            np.add.at(gone, order[later], 1)
-            np.add.at(gone, order[later] + min_lines, -1)
+        if len(at):
+            group = np.cumsum(fresh) - 1
+            lead = at[fresh][group]
+            later = np.frombuffer(b"".join(answers[final]), np.uint8)[group] > 0
+            later |= (lines.document[at] != lines.document[lead]) | (lines.number[at] != lines.number[lead])
+            np.add.at(gone, at[later], 1)
+            np.add.at(gone, at[later] + length[later], -1)
         gone = np.cumsum(gone)[:-1] > 0
         stay = np.flatnonzero(~gone)
         sizes = lines.ends[stay] - lines.starts[stay] + 1
@@ -226,7 +243,10 @@ def remove_repeated_lines(
         out[ends[1:] - 1] = 10
         bounds = ends[np.searchsorted(stay, lines.at)]
         kept = [out[a : max(a, b - 1)].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1] | (lines.owner[1:] != lines.owner[:-1])
         columns = {k: rows.field(k) for k in keep} | {
+            "n_spans": np.diff(np.concatenate([[0], np.cumsum(opens)])[lines.at]),
             "n_lines": np.diff(lines.at), "n_removed": np.diff(np.concatenate([[0], np.cumsum(gone)])[lines.at]),
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
         }
@@ -237,7 +257,7 @@ def remove_repeated_lines(
 
     fields = ", ".join(f"`{k}` {t}" for k, t in docs.select(*keep).dtypes)
     extra = ", kept_text string" if with_text else ""
-    return shards.run(last, f"{fields}, n_lines long, n_removed long, kept_sha256 string{extra}", replies)
+    return shards.run(last, f"{fields}, n_spans long, n_lines long, n_removed long, kept_sha256 string{extra}", replies)
 
 
 def _edges(parts: int) -> np.ndarray:

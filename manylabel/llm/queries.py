@@ -49,8 +49,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines left after removing later copies of runs of two lines or more."""
-    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    """Lines left after removing later copies of runs of two lines or more, or of one long line."""
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents"), long_line=line_dedup.LONG_LINE)
 
 
 @query("op6_simhash")
