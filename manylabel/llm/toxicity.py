@@ -11,7 +11,9 @@ gets buckets and counts only. Scoring is one pass over all bytes of all texts: w
 the softmax over an average is the average of one number for each bucket.
 
 Defined results: a null or empty text, or one without letters, gets the score of an empty bag
-(the softmax of the biases); without labels of both classes every row scores 0.
+(the softmax of the biases); without labels of both classes every row scores 0. Equal texts get
+equal scores; a text longer than a batch slice is scored as a whole; labels of one id are read
+once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,14 +75,33 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -50, 50)))
 
 
+class _Sums:
+    """``out[group] += share * values[other]`` for each column of ``values``, by sorted groups."""
+
+    def __init__(self, group: np.ndarray, n: int, other: np.ndarray, share: np.ndarray):
+        order = np.argsort(group, kind="stable")
+        self.n, self.other, self.share = n, other[order].astype(np.int32), share[order]
+        sizes = np.bincount(group, minlength=n)
+        self.used = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.used]
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, values.shape[1]))
+        for j, column in enumerate(values.T.astype(np.float32)):
+            if len(self.used):
+                out[self.used, j] = np.add.reduceat(self.share * column[self.other], self.starts)
+        return out
+
+
 def train(
     buckets: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
-    dims: int = 4, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, vocabulary: int = 1000, seed: int = 7,
+    dims: int = 2, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, doubt: float = 30.0, seed: int = 7,
 ) -> ToxicityModel:
     """Vectors and softmax by Adam over all rows of the sample in each step.
 
-    Only the ``vocabulary`` buckets whose presence differs most between the classes get vectors
-    (by the test statistic of two shares); the others count in the average as zero vectors.
+    Every bucket of the sample gets a vector. A bucket enters the average with the weight
+    ``z^2 / (z^2 + doubt)``, ``z`` being the test statistic of its shares of the two classes, so
+    buckets that tell nothing hardly move and equal evidence counts equally.
     """
     size = 1 << BUCKET_BITS
     if len(set(labels.tolist())) < 2:
@@ -91,33 +112,34 @@ def train(
         shares[label, found] += 1
     both = shares.sum(axis=0) / len(buckets)
     clean, toxic = shares / by_class[:, None]
-    gap = np.abs(toxic - clean) / np.sqrt(np.maximum(both * (1 - both), 1 / len(buckets)))
-    bar = np.sort(gap)[-vocabulary] if vocabulary < size else 0.0
-    frequent = gap > max(bar, 1e-9)
-    ids = np.full(size, -1)
-    ids[frequent] = np.arange(frequent.sum())
-    kept = [np.flatnonzero(frequent[b]) for b in buckets]
-    rows = np.repeat(np.arange(len(buckets)), [len(k) for k in kept])
-    cols = ids[np.concatenate([b[k] for b, k in zip(buckets, kept)])]
-    share = np.concatenate([c[k] / max(1, c.sum()) for c, k in zip(counts, kept)])
-    width, n = int(frequent.sum()), len(buckets)
-    share *= 100.0
+    error = np.maximum(both * (1 - both), 1 / len(buckets)) * (1 / by_class).sum()
+    evidence = (toxic - clean) ** 2 / error
+    trust = evidence / (evidence + doubt)
+    known = np.flatnonzero(both)
+    ids = np.zeros(size, np.int32)
+    ids[known] = np.arange(len(known))
+    rows = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
+    found = np.concatenate(buckets)
+    cols = ids[found]
+    share = (100.0 * np.concatenate([c / max(1, c.sum()) for c in counts]) * trust[found]).astype(np.float32)
+    by_text = _Sums(rows, len(buckets), cols, share)
+    by_bucket = _Sums(cols, len(known), rows, share)
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.01, (width, dims)), rng.normal(0, 1, (dims, 2)), np.zeros(2)]
+    params = [rng.normal(0, 0.01, (len(known), dims)), rng.normal(0, 1, (dims, 2)), np.zeros(2)]
     means = [np.zeros_like(p) for p in params]
     squares = [np.zeros_like(p) for p in params]
     target = np.eye(2)[labels]
     weight = (0.5 / by_class)[labels][:, None]
     for step in range(1, epochs + 1):
         vectors, soft, bias = params
-        bag = np.stack([np.bincount(rows, share * vectors[cols, j], n) for j in range(dims)], 1)
+        bag = by_text(vectors)
         logits = bag @ soft + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         slope = (p - target) * weight
         back = slope @ soft.T
         grads = [
-            np.stack([np.bincount(cols, share * back[rows, j], width) for j in range(dims)], 1) + decay * vectors,
+            by_bucket(back) + decay * vectors,
             bag.T @ slope + decay * soft,
             slope.sum(0),
         ]
@@ -127,7 +149,7 @@ def train(
             params[i] = params[i] - rate * (means[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.99**step)) + 1e-8)
     vectors, soft, bias = params
     weights = np.zeros(size, np.float32)
-    weights[frequent] = 100.0 * vectors @ (soft[:, 1] - soft[:, 0])
+    weights[known] = 100.0 * trust[known] * (vectors @ (soft[:, 1] - soft[:, 0]))
     return ToxicityModel(weights, float(bias[1] - bias[0]))
 
 

@@ -398,3 +398,42 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c " * 30, "en", "s", 1, 1, "", ""), (None, "a b c " * 30, "en", "s", 1, 1, "", ""), (4, "a b c " * 30, "en", "s", 1, 1, "", "")], DOCS)
     assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_strings(df).collect()} == {None: 180, 4: 0}
     assert sorted(str(r.component) for r in simhash.near_components(simhash.fingerprints(df)).collect()) == ["4", "None", "None"]
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_long_lines_count_alone(docs, rows, least):
+    got = collected(line_dedup.remove_repeated_lines(docs, least, with_text=True, long_line=30))
+    runs, alone = set(), set()
+    for i, t, *_ in rows:
+        lines = t.split("\n") if t else []
+        gone = [False] * len(lines)
+        for p in range(len(lines) - least + 1):
+            run = tuple(lines[p : p + least])
+            if run in runs:
+                gone[p : p + least] = [True] * least
+            runs.add(run)
+        for p, x in enumerate(lines):
+            if len(x.encode()) >= 30:
+                gone[p] |= x in alone
+                alone.add(x)
+        spans = sum(g and not (p and gone[p - 1]) for p, g in enumerate(gone))
+        assert (got[i].n_lines, got[i].n_removed, got[i].n_spans) == (len(lines), sum(gone), spans)
+        assert got[i].kept_text == (None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g))
+
+
+def test_copies_of_one_line_leave_one(spark):
+    line = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, line) for i in range(50)] + [(100 + i, f"own {i}\n{line}\nother {i}") for i in range(50)]
+    out = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collected(line_dedup.remove_repeated_lines(out, long_line=line_dedup.LONG_LINE))
+    assert [got[i].n_removed for i, _ in rows] == [0] + [1] * 99
+
+
+def test_toxicity_without_common_words(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = [(i, " ".join(word() for _ in range(20)), i % 2) for i in range(200)] + [(1000 + i, "tied words of one long text", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(docs.drop("toxic"), docs.drop("text"))
+    scored = toxicity.score_toxicity(docs, model, keep=("doc_id", "toxic")).collect()
+    assert min(r.score for r in scored if r.toxic) > max(r.score for r in scored if not r.toxic)
