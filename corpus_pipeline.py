@@ -69,17 +69,17 @@ def _with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 @tidy
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of runs of two lines or more."""
-    changed = line_dedup.remove_repeated_lines(_whole(docs), keep=("row",), with_text=True)
+    """Texts without later copies of runs of two lines or more, or of one long line."""
+    changed = line_dedup.remove_repeated_lines(_whole(docs), keep=("row",), with_text=True, long_line=line_dedup.LONG_LINE)
     return _with_text(changed, docs)
 
 
 @tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id; of rows of one id, one for each text."""
     groups = near_documents.near_documents(docs)
     kept = stage(groups.filter("key = component").select(F.col("key").alias("doc_id")).distinct(), "pipeline-kept")
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
