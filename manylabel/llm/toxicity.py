@@ -75,21 +75,38 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -50, 50)))
 
 
-class _Sums:
-    """``out[group] += share * values[other]`` for each column of ``values``, by sorted groups."""
-
-    def __init__(self, group: np.ndarray, n: int, other: np.ndarray, share: np.ndarray):
-        order = np.argsort(group, kind="stable")
-        self.n, self.other, self.share = n, other[order].astype(np.int32), share[order]
-        sizes = np.bincount(group, minlength=n)
-        self.used = np.flatnonzero(sizes)
-        self.starts = (np.cumsum(sizes) - sizes)[self.used]
-
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, values.shape[1]))
-        for j, column in enumerate(values.T.astype(np.float32)):
-            if len(self.used):
-                out[self.used, j] = np.add.reduceat(self.share * column[self.other], self.starts)
+#: N-grams of the sample that are multiplied at once.
+CHUNK = 1 << 20
+
+
+class _Bags:
+    """The sample as weighted bags, in chunks, and the two products of the training steps."""
+
+    def __init__(self, buckets: list[np.ndarray], counts: list[np.ndarray], trust: np.ndarray):
+        self.n, self.chunks = len(buckets), []
+        used = [i for i in range(self.n) if len(buckets[i])]
+        sizes = np.array([len(buckets[i]) for i in used], np.int64)
+        part = np.cumsum(sizes) // CHUNK
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            texts = [used[i] for i in at]
+            found = np.concatenate([buckets[i] for i in texts])
+            share = np.concatenate([(c * (100.0 / c.sum())).astype(np.float32) for c in (counts[i] for i in texts)])
+            share *= trust[found]
+            self.chunks.append((np.array(texts), sizes[at], np.cumsum(sizes[at]) - sizes[at], found, share))
+
+    def averages(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, vectors.shape[1]))
+        for texts, _, starts, found, share in self.chunks:
+            for j, column in enumerate(vectors.T.astype(np.float32)):
+                out[texts, j] = np.add.reduceat(share * column[found], starts)
+        return out
+
+    def slopes(self, back: np.ndarray) -> np.ndarray:
+        out = np.zeros((1 << BUCKET_BITS, back.shape[1]))
+        for texts, sizes, _, found, share in self.chunks:
+            for j, column in enumerate(back.T.astype(np.float32)):
+                out[:, j] += np.bincount(found, share * np.repeat(column[texts], sizes), len(out))
         return out
 
 
@@ -114,32 +131,24 @@ def train(
     clean, toxic = shares / by_class[:, None]
     error = np.maximum(both * (1 - both), 1 / len(buckets)) * (1 / by_class).sum()
     evidence = (toxic - clean) ** 2 / error
-    trust = evidence / (evidence + doubt)
-    known = np.flatnonzero(both)
-    ids = np.zeros(size, np.int32)
-    ids[known] = np.arange(len(known))
-    rows = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-    found = np.concatenate(buckets)
-    cols = ids[found]
-    share = (100.0 * np.concatenate([c / max(1, c.sum()) for c in counts]) * trust[found]).astype(np.float32)
-    by_text = _Sums(rows, len(buckets), cols, share)
-    by_bucket = _Sums(cols, len(known), rows, share)
+    trust = (evidence / (evidence + doubt)).astype(np.float32)
+    bags = _Bags(buckets, counts, trust)
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.01, (len(known), dims)), rng.normal(0, 1, (dims, 2)), np.zeros(2)]
+    params = [rng.normal(0, 0.01, (size, dims)), rng.normal(0, 1, (dims, 2)), np.zeros(2)]
     means = [np.zeros_like(p) for p in params]
     squares = [np.zeros_like(p) for p in params]
     target = np.eye(2)[labels]
     weight = (0.5 / by_class)[labels][:, None]
     for step in range(1, epochs + 1):
         vectors, soft, bias = params
-        bag = by_text(vectors)
+        bag = bags.averages(vectors)
         logits = bag @ soft + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         slope = (p - target) * weight
         back = slope @ soft.T
         grads = [
-            by_bucket(back) + decay * vectors,
+            bags.slopes(back) + decay * vectors,
             bag.T @ slope + decay * soft,
             slope.sum(0),
         ]
@@ -148,8 +157,7 @@ def train(
             squares[i] = 0.99 * squares[i] + 0.01 * g * g
             params[i] = params[i] - rate * (means[i] / (1 - 0.9**step)) / (np.sqrt(squares[i] / (1 - 0.99**step)) + 1e-8)
     vectors, soft, bias = params
-    weights = np.zeros(size, np.float32)
-    weights[known] = 100.0 * trust[known] * (vectors @ (soft[:, 1] - soft[:, 0]))
+    weights = (100.0 * trust * (vectors @ (soft[:, 1] - soft[:, 0]))).astype(np.float32)
     return ToxicityModel(weights, float(bias[1] - bias[0]))
 
 
