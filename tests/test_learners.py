@@ -1,11 +1,13 @@
 """Learners against brute force and by their optimality conditions."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from manylabel.functions.labels import to_matrix
-from manylabel.operators import bayes, enrich, enrich_svm, kernels, laplacian, svm, tiles
+from manylabel.operators import bayes, cuts, enrich, enrich_svm, kernels, laplacian, svm, tiles
 from manylabel.session import stage
 
 N, D, Q = 60, 15, 3
@@ -279,3 +281,34 @@ def test_exact_kernel(spark, data, monkeypatch, sizes):
     square = ((x[:, None] - x[None]) ** 2).sum(-1)
     assert np.allclose(got, np.exp(-0.7 * square) @ a, atol=1e-9)
     assert kernels.rbf_times(data["feats"], values.limit(0), 0.7).count() == 0
+
+
+def test_best_prefix_against_all_sets(spark):
+    rng = random.Random(4)
+    nodes = [(i, [rng.randint(0, 6) / 4.0, None if i % 5 == 0 else rng.random()], [float(i % 3 == 0), None]) for i in range(40)]
+    edges = [(rng.randrange(40), rng.randrange(44), rng.randint(1, 8) / 4.0) for _ in range(150)] + [(3, 3, 9.0), (None, 2, 1.0)]
+    x = spark.createDataFrame(nodes, "id long, x array<double>, y array<double>")
+    w = spark.createDataFrame(edges, "src long, dst long, w double").repartition(3)
+    got = {(r.class_id, r.cut): (r.size, r.value) for r in cuts.prefix_objectives(x, w, 0.5, 2.0).collect()}
+    want = {}
+    for k in (0, 1):
+        at = {i: v[k] for i, v, _ in nodes if v[k] is not None}
+        values = sorted(set(at.values()))
+        tied = list(at.values()).count(values[-1]) > 1
+        for c in values[1:] + [None] * tied:
+            inside = {i for i, v in at.items() if c is not None and v >= c}
+            value = sum(1 - 2.0 * (nodes[i][2][k] or 0) for i in inside)
+            value += sum(0.5 * e for a, b, e in edges if a in at and b in at and (a in inside) != (b in inside))
+            want[k, c] = (len(inside), round(value, 6))
+    assert got == want
+    best = {r.class_id: (r.value, -r.size) for r in cuts.best_prefix(x, w, 0.5, 2.0).collect()}
+    assert best == {k: min((v, -n) for (j, _), (n, v) in want.items() if j == k) for k in (0, 1)}
+    assert cuts.best_prefix(x.limit(0), w, 0.5, 2.0).count() == 0
+
+
+def test_prefix_labels_keep_the_given_ones(spark):
+    nodes = spark.createDataFrame([(i, [5.0 - i]) for i in range(6)], "id long, x array<double>").selectExpr("id", "x", "array(IF(id < 3, 1D, 0D)) AS y")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 0.5), (3, 4, 1.0), (4, 5, 1.0)], "src long, dst long, w double")
+    labels = spark.createDataFrame([(5, 0)], "id long, class_id int")
+    got = sorted(tuple(r) for r in cuts.prefix_labels(nodes, edges, labels, 1.0, 3.0).select("id", "class_id").collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (5, 0)]
