@@ -43,7 +43,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     n = len(codes)
     if n < 2:
         return np.arange(n)
-    bits, kind = n.bit_length(), np.int32 if n < 1 << 31 else np.int64
+    bits, kind = n.bit_length(), np.int32 if n < 1 << 29 else np.int64
     used = np.zeros(int(codes.max()) + 1, bool)
     used[codes] = True
     dense = np.cumsum(used).astype(np.uint64)  # 0 stands for the places behind the end
@@ -64,12 +64,14 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     fresh = np.ones(n, bool)
     fresh[1:] = packed[1:] != packed[:-1]
     rank = np.zeros(n + 1, kind)
-    rank[suffixes] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=kind), 0)) + 1
+    first = np.maximum.accumulate(np.where(fresh, np.arange(1, n + 1, dtype=kind), 0))
+    rank[suffixes] = first
     open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True))).astype(kind)
+    first = first[open_]
     h = length
     while len(open_):
         at = suffixes[open_]
-        first, second = rank[at], rank[np.minimum(at.astype(np.int64) + h, n)]
+        second = rank[np.minimum(at + kind(h), n)]
         if 3 * bits <= 64:
             packed = first.astype(np.uint64)
             for part in (second, at):
@@ -86,38 +88,41 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         suffixes[open_] = at
         fresh = np.ones(len(at), bool)
         fresh[1:] = changed
-        rank[at] = np.maximum.accumulate(np.where(fresh, open_, 0)) + 1
-        open_ = open_[~(fresh & np.append(fresh[1:], True))]
+        first = np.maximum.accumulate(np.where(fresh, open_ + kind(1), 0))
+        rank[at] = first
+        stay = ~(fresh & np.append(fresh[1:], True))
+        open_, first = open_[stay], first[stay]
         h *= 2
-    return suffixes.astype(np.int64)
+    return suffixes
 
 
 def common_prefixes(codes: np.ndarray, suffixes: np.ndarray, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """By position: length of the prefix shared with the suffix before it in order."""
-    n = len(codes)
-    before = np.full(n, -1)
+    n, kind = len(codes), np.int32 if len(codes) < 1 << 30 else np.int64
+    suffixes = suffixes.astype(kind, copy=False)
+    before = np.full(n, -1, kind)
     before[suffixes[1:]] = suffixes[:-1]
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = codes
     words = np.ndarray((n + 1,), np.uint64, padded, 0, (1,))
+    # the byte before a neighbour at 0 reads as the 0 behind the end, and is compared anew
     anew = np.ones(n, bool)
-    inner = np.flatnonzero(before[1:] > 0) + 1
-    anew[inner] = codes[inner - 1] != codes[before[inner] - 1]
+    anew[1:] = (padded[before[1:] - 1] != padded[: n - 1]) | (before[1:] == 0)
     anew &= before >= 0
-    at = np.flatnonzero(anew)
+    at = np.flatnonzero(anew).astype(kind)
     other = before[at]
+    gap = words[at] ^ words[other]
+    shared = _low_bytes(gap)
+    todo = np.flatnonzero(gap == 0)
     room = n - np.maximum(at, other)
-    shared = np.zeros(len(at), np.int64)
-    todo = np.arange(len(at))
-    for _ in range(8):
+    for _ in range(7):
         a, b = at[todo] + shared[todo], other[todo] + shared[todo]
         gap = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
-        low = gap & (~gap + np.uint64(1))
-        step = np.where(gap == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64)
-        shared[todo] = np.minimum(shared[todo] + step, room[todo])
-        todo = todo[(step == 8) & (shared[todo] < room[todo])]
+        shared[todo] += _low_bytes(gap)
+        todo = todo[(gap == 0) & (shared[todo] < room[todo])]
         if not len(todo):
             break
+    shared = np.minimum(shared, room)
     if len(todo):
         hashed = hashed or prefix_hash(BYTE_VALUES[codes], 0x9E3779B97F4A7C15)
         low, high = shared[todo], room[todo]
@@ -126,10 +131,17 @@ def common_prefixes(codes: np.ndarray, suffixes: np.ndarray, hashed: tuple[np.nd
             same = range_hash(hashed, at[todo], at[todo] + half) == range_hash(hashed, other[todo], other[todo] + half)
             low, high = np.where(same, half, low), np.where(same, high, half - 1)
         shared[todo] = low
-    start = np.full(n, -n)
+    start = np.full(n, -n, kind)
     start[at] = at + shared
     start[before < 0] = 0
-    return np.maximum(np.maximum.accumulate(start) - np.arange(n), 0)
+    np.maximum.accumulate(start, out=start)
+    start -= np.arange(n, dtype=kind)
+    return np.maximum(start, 0, out=start)
+
+
+def _low_bytes(gap: np.ndarray) -> np.ndarray:
+    """Number of low zero bytes of each word."""
+    return (np.bitwise_count((gap & -gap) - np.uint64(1)) >> 3).astype(np.int32)
 
 
 class Texts:
@@ -158,20 +170,22 @@ class Texts:
         dense = np.cumsum(used).astype(np.uint8)  # UTF-8 uses 243 byte values at most; 0 ends a text
         lengths = np.diff(self.offsets)
         codes = np.zeros(n + len(lengths), np.uint8)
-        place = np.arange(n) + np.repeat(np.arange(len(lengths)), lengths)
-        codes[place] = dense[self.data]
+        inside = np.ones(len(codes), bool)
+        inside[self.offsets[1:] + np.arange(len(lengths))] = False  # where a text ends
+        codes[inside] = dense[self.data]
         suffixes = suffix_array(codes)
-        prefix = common_prefixes(codes, suffixes)
-        same = prefix[suffixes] >= self.length
+        same = (common_prefixes(codes, suffixes) >= self.length)[suffixes]
         same[0] = False
-        member = same | np.append(same[1:], False)
-        group = np.cumsum(~same[member])
-        document = np.repeat(self.ids, lengths + 1)[suffixes[member]]
+        member = same.copy()
+        member[:-1] |= same[1:]
+        member = np.flatnonzero(member)
         gone = np.zeros(len(codes), bool)
-        if len(group):
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        if len(member):
+            starts = np.flatnonzero(~same[member])
+            at = suffixes[member]
+            document = self.ids[np.searchsorted(self.offsets[1:] + np.arange(len(lengths)), at)]
             least = np.minimum.reduceat(document, starts)
-            gone[suffixes[member]] = document > np.repeat(least, np.diff(np.append(starts, len(group))))
+            gone[at] = document > np.repeat(least, np.diff(np.append(starts, len(member))))
         return gone[self.strings + self.owner]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
