@@ -11,7 +11,7 @@ from manylabel.operators import clean, graph
 from manylabel.plans.inputs import DOCS, EVENT_TYPES, USER_TYPES, documents, table, user_types
 from manylabel.plans.registry import query
 from manylabel.session import staging_root
-from manylabel.sources import apps, datasets, pages
+from manylabel.sources import apps, datasets, markup, pages
 from manylabel.streaming import ingest
 
 PAGE_HEADER = ["page_id", "url", "lang", "title", "h1", "article", "note"]
@@ -110,6 +110,72 @@ def page_links(spark, sf_dir):
     return pages.extract_links(table(spark, sf_dir, "pages"))
 
 
+#: Values of the fields of a part's page, in SQL that both engines read; null where the page lacks the field.
+_PART_FIELDS = {
+    "Category": "concat(p_type, ' & ', p_brand)",
+    "Name": "p_name",
+    "Price": "concat('$', p_size, '.49')",
+    "Updated": "concat('May ', p_partkey % 28 + 1)",
+    "Size": "CASE WHEN p_size % 5 <> 0 THEN concat(p_size, 'M') END",
+    "Installs": "concat(p_partkey % 7 * 100, '+')",
+    "Requires_Android": "concat(p_size % 8 + 1, ' and up')",
+    "Age": "CASE WHEN p_size % 2 = 0 THEN 'Teen' ELSE 'Everyone' END",
+    "Inapp_Products": "CASE WHEN p_size % 2 = 0 THEN concat('<', p_size, '> per item') END",
+    "Developer": "p_brand",
+    "Description": "concat(p_name, ' of ', p_type, ' by ', p_brand)",
+    "Rating": "concat('4.', p_partkey % 10)",
+    "Rating_Total": "CAST(p_partkey % 1000 AS STRING)",
+    "Content_Feature": "CASE WHEN p_size % 3 <> 0 THEN concat('Blood, ', p_type) END",
+    "Version": "concat('1.', p_size)",
+    **{f"Rating_{n}": f"CASE WHEN p_partkey % {n + 1} <> 0 THEN CAST({n} * p_size AS STRING) END" for n in (5, 4, 3, 2, 1)},
+}
+
+
+def _part_html() -> str:
+    """The page of a part: nested ``div``, unclosed and void tags, comments, scripts, both quotes."""
+    def given(name: str, before: str, after: str) -> str:
+        value = f"replace(replace(replace({_PART_FIELDS[name]}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+        return f"coalesce(concat('{before}', {value}, '{after}'), '')"
+
+    def labelled(name: str, label: str) -> str:
+        return given(name, f"<div class=x><div> {label}</div><span><div><span>", "</span></div></span></div>")
+
+    pieces = [
+        "'<!DOCTYPE html><html><body><div><!-- <h1 itemprop=\"name\"><span>no</span></h1> -->'",
+        "'<script>if (a < b) x = \"<div><div>Size</div><span><div><span>0</span></div></span></div>\";</script>'",
+        given("Name", "<h1 class=\"a>b\" itemprop=\"name\"><span>", "</span></h1></em>"),
+        given("Category", "<p>one<p>two<br><a itemprop=genre href=\"/x?a=1&amp;b=2\">", "</a>"),
+        given("Price", "<button aria-label=\"Buy\">free</button><button aria-label><span><span>", "</span></span></button>"),
+        labelled("Updated", "Updated"), labelled("Size", "Size"), labelled("Installs", "Installs"),
+        labelled("Requires_Android", "Requires Android"), labelled("Inapp_Products", "In-app Products"),
+        labelled("Developer", "Offered By"), labelled("Version", "Current Version"),
+        given("Age", "<DIV><div>Content Rating</div><span><div><span><div>", "</div>"),
+        given("Content_Feature", "<div>", "</div>"), "'</span></div></span></DIV>'",
+        "concat('<content><div jsname=sngebd>', p_name, '<div> of <div>', p_type, '</div></div> by<img src=x> <b>', p_brand, '</div></content>')",
+        given("Rating", "<div class=\"BHMmbe\">", "</div>"), given("Rating_Total", "<span aria-label=\"all\">", "</span>"),
+        *[given(f"Rating_{n}", f"<div><span>{n}</span><span style=\"w\"></span><span title=\"", "\">x</span></div>") for n in (5, 4, 3, 2, 1)],
+        *[f"concat('<div><span class=preview-overlay-container data-docid=\"p', p_partkey + {n}, '\"></span></div>')" for n in (1, 2, 1)],
+    ]
+    return "concat(" + ", ".join(pieces) + ")"
+
+
+@query("app_page_fields", "SELECT p_partkey, " + ", ".join(f'{v} AS "{k}"' for k, v in _PART_FIELDS.items()) + " FROM part")
+def app_page_fields(spark, sf_dir):
+    """All twenty fields of the pages of the parts."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_part_html()).alias("html"))
+    parsed = markup.parse_fields(rows)
+    return parsed.select("p_partkey", *[F.try_element_at("fields", F.lit(n)).alias(n) for n in markup.APP_PAGE])
+
+
+@query("app_page_links", """
+SELECT p_partkey AS src, concat('p', p_partkey + n) AS dst FROM part CROSS JOIN (SELECT unnest([1, 2]) AS n)""")
+def app_page_links(spark, sf_dir):
+    """Similar items shown on the pages of the parts."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_part_html()).alias("html"))
+    return markup.parse_links(rows, "p_partkey")
+
+
+
 _RECORDS = _FIELDS + """,
 records AS (
   SELECT replace(url, chr(10), ' ') AS "Package", lang, replace(title, chr(10), ' ') AS title,
@@ -299,6 +365,18 @@ def similar_items_bfs(spark, sf_dir):
     )
 
 
+@query("resumed_bfs", _bfs_sql())
+def resumed_bfs(spark, sf_dir):
+    """The search stopped after three levels, written, and taken up again from what was written."""
+    first = table(spark, sf_dir, "part").filter(F.col("p_size") % 2 == 0).agg(
+        F.concat(F.lit("p"), F.min("p_partkey")).alias("id")
+    )
+    edges, accepted = _order_part_edges(spark, sf_dir), _accepted(spark, sf_dir)
+    path = scratch(spark, "visited")
+    graph.bfs(edges, first, accepted, max_depth=3).write.parquet(path)
+    return graph.bfs(edges, first, accepted, resume=(spark.read.parquet(path), 3))
+
+
 @query("new_candidates", """
 SELECT DISTINCT 'p' || l_partkey AS id FROM lineitem
 WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)""")

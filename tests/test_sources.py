@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from manylabel.operators import graph
-from manylabel.sources import apps, datasets, pages
+from manylabel.sources import apps, datasets, markup, pages
 from manylabel.streaming import ingest
 
 PAGE = """<html><body><h1 itemprop="name"><span>Fun &amp; Games</span></h1>
@@ -74,6 +74,31 @@ def test_app_page_rules(spark):
     assert {r["dst"] for r in links} == {"b", "c"} and len(links) == 2
 
 
+def test_selectors_follow_the_nesting(spark):
+    df = spark.createDataFrame([("a", PAGE, 1), ("n", None, 2), ("e", "", 3)], "Package string, html string, fields int")
+    found = {r["Package"]: r["fields"] for r in markup.parse_fields(df).collect()}
+    want = {r["Package"]: r["fields"] for r in pages.extract_fields(df.filter("html is not null")).collect()}
+    assert found == {**want, "n": None}
+    links = markup.parse_links(df, "Package").collect()
+    assert sorted((r["src"], r["dst"]) for r in links) == [("a", "b"), ("a", "c")]
+
+
+def test_pages_that_are_not_well_formed():
+    def text(html, *steps, attribute=None):
+        return list(markup.Page(html).found(markup.Selector(steps, attribute)))
+
+    step = markup.Step
+    assert text("<ul><li>a<li>b<ul><li>c</ul></ul>", step("ul"), step("li", number=2)) == ["bc"]
+    assert text("<div>a</b><div>b<div>c</div>d", step("div")) == ["abcd", "bcd", "c"]
+    assert text("<p>1<br>2<br/>3<hr></p>4", step("p")) == ["123"]
+    assert text("<i>x</i", step("i")) == ["x</i"] and text("a < b <b>c", step("b")) == ["c"]
+    assert text("<!-- <b>no</b> --><b>yes</b><!-- <b>no", step("b")) == ["yes"]
+    assert text("<a HREF='x&amp;y'>", step("a"), attribute="href") == ["x&y"]
+    assert text("<a t=\"1>2\" u>z</a>", step("a", (("u", None), ("t", "1>2")))) == ["z"]
+    assert text("<div>" * 5000 + "deep" + "</div>" * 5000, step("div"), step("div", text="deep"))[-1] == "deep"
+    assert text("<script>'<b>no</b>'</script><b>yes</b><style><b>", step("b")) == ["yes"]
+
+
 def test_labels_replace_one_model(spark, tmp_path):
     path = str(tmp_path / "labels")
     one = spark.createDataFrame([(1, 0)], "id long, class_id int")
