@@ -12,7 +12,8 @@ block of rows and a chunk of queries. Each query keeps its best few in each bloc
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part;
 ties go to the smaller id; rows of one id should hold one vector and count once, as queries and as
-neighbours (of several query vectors under one id the least counts); an empty table gives an empty
+neighbours (of several query vectors under one id the least counts); vectors of different lengths
+are not compared, each length is searched with a tree of its own; an empty table gives an empty
 result.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -210,11 +212,22 @@ def search(
     named = [F.col(key).cast("long").alias("id"), F.col(column).alias("vector")]
     rows = usable(vectors, column).filter(F.col(key).isNotNull()).select(named)
     asked = usable(queries, column).filter(F.col(key).isNotNull()).select(named).groupBy("id").agg(F.min("vector").alias("vector"))
-    n, n_asked = rows.count(), asked.count()
+    sizes, wanted = ({r[0]: r[1] for r in x.groupBy(F.size("vector")).count().collect()} for x in (rows, asked))
+    found = []
+    for size in sorted(sizes.keys() & wanted.keys()):
+        parts = (rows, asked) if len(sizes) == len(wanted) == 1 else [x.filter(F.size("vector") == size) for x in (rows, asked)]
+        found.append(_search(*parts, sizes[size], wanted[size], k, recall, sample_rows, tree_options))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(
+    rows: DataFrame, asked: DataFrame, n: int, n_asked: int, k: int, recall: float, sample_rows: int, tree_options: dict
+) -> DataFrame:
+    """:func:`search` over vectors of one length."""
+    spark = rows.sparkSession
     chunks = max(1, -(-n_asked // BLOCK))
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not n or not n_asked:
-        return spark.createDataFrame([], empty)
     sample = _limited(rows, sample_rows / n, "id").select("vector").limit(2 * sample_rows).toArrow()
     x = unit(matrix(sample.column("vector")))
     if not len(x):

@@ -301,6 +301,20 @@ def test_repeated_query_rows_count_once(spark, vectors):
         assert sorted(r for r, _ in found) == [1, 2, 3, 4, 5] and len({v for _, v in found}) == 5
 
 
+def test_each_vector_length_is_searched_by_itself(spark, vectors):
+    rng = np.random.default_rng(9)
+    short = [(400 + i, [float(v) for v in rng.normal(size=3)], None, 9) for i in range(4)] + [(450, [1.0, 2.0], None, 9)]
+    df = spark.createDataFrame(vectors + short, VECTORS).repartition(3)
+    got = collections.defaultdict(list)
+    for r in tree_search.search(df, df.filter("vec_id % 50 = 0"), branching=4, leaf_rows=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    x = np.array([v for _, v, *_ in short[:4]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert got.pop(400) == [400 + int(i) for i in np.argsort(-(x @ x[0])) if i]  # all there are, nearest first
+    assert set(got) == set(range(0, 260, 50))  # 450 has no other row of its length
+    assert all(len(v) == 5 and max(v) < 260 for v in got.values())
+
+
 def test_viterbi_equals_plain_search_and_round_trips(docs, rows):
     vocabulary = viterbi.load_vocabulary(VOCABULARY)
     rng = random.Random(1)
