@@ -59,6 +59,28 @@ def parse_sections(spark, sf_dir):
     )
 
 
+@query("package_tree", """
+SELECT concat('com.part', p_partkey) AS "Package", CASE p_size % 3 WHEN 0 THEN 'Role_Playing' ELSE 'Puzzle' END AS "Category",
+       concat(p_size, '+') AS "Installs", p_brand AS "Developer", concat(p_type, ';', p_brand) AS "Permission",
+       concat(p_name, ' ', p_type) AS "Description"
+FROM part WHERE p_size % 3 <> 2 AND p_partkey % 7 <> 0""")
+def package_tree(spark, sf_dir):
+    """Parts written as package folders of one or two versions and read back; some lack a file, some the category."""
+    text = """concat('Category\\n\\t', element_at(array('Role Playing', 'Puzzle', 'Tools'), p_size % 3 + 1),
+        '\\nDownload\\n\\t', p_size, '+\\nDeveloper\\n\\t', p_brand, '\\n')"""
+    part = table(spark, sf_dir, "part").select(
+        F.expr("concat('com.part', p_partkey)").alias("Package"), "p_partkey",
+        F.expr(text).alias("information"),
+        F.expr("CASE WHEN p_partkey % 7 <> 0 THEN concat(p_type, '\\n', p_brand, '\\n') END").alias("permission"),
+        F.expr("concat(p_name, '\\n', p_type)").alias("description"),
+    )
+    later = part.filter("p_partkey % 4 = 0").withColumn("description", F.lit("later")).withColumn("version", F.lit("2"))
+    path = scratch(spark, "tree")
+    apps.write_app_tree(part.withColumn("version", F.lit("1")).unionByName(later), path)
+    names = ["Package", "Category", "Installs", "Developer", "Permission", "Description"]
+    return apps.read_app_tree(spark, path).select(names)
+
+
 @query("next_line", """
 SELECT id, pos, line, lead(line) OVER (PARTITION BY id ORDER BY pos) AS following FROM (
   SELECT doc_id AS id, unnest(range(len(s))) AS pos, unnest(s) AS line

@@ -54,8 +54,12 @@ def test_app_tree(spark, tmp_path):
     put("com.a", "2", {**full, "Description": "later"})
     put("com.b", "1", {k: v for k, v in full.items() if k != "Permission"})
     put("com.c", "1", {**full, "Information": "Category\n\tTools\n"})
-    got = apps.read_app_tree(spark, str(tmp_path / "tree")).collect()
-    assert [r["Package"] for r in got] == ["com.a"]
+    put("com.d e%20", "1", {**full, "Information": info.replace("Role Playing", "Word")})
+    opened = spark.sparkContext.accumulator(0)
+    got = apps.read_app_tree(spark, str(tmp_path / "tree"), opened=opened).collect()
+    got.sort(key=lambda r: r["Package"])
+    assert [(r["Package"], r["Category"]) for r in got] == [("com.a", "Role_Playing"), ("com.d e%20", "Word")]
+    assert opened.value == 3 + 3 + 1  # of com.c only the information, of com.b and later versions nothing
     row = got[0]
     assert row["Category"] == "Role_Playing" and row["Installs"] == "10+"
     assert row["Permission"] == "read;write" and row["Description"] == "one two"
