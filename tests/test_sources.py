@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from manylabel.operators import graph
+from manylabel.plans import ingest as ingest_plans
 from manylabel.sources import apps, datasets, markup, pages
 from manylabel.streaming import ingest
 
@@ -154,3 +155,12 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     assert sorted(r["Package"] for r in run()) == ["a", "c"]
     batch = ingest.pages_to_records(spark.read.parquet(source), min_fields=5)
     assert {r["Package"] for r in batch.collect()} == {"a", "c"}
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path, sf_dir):
+    """A table of several files in a folder of its own gives the rows that one file gives."""
+    for name in ("pages", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for run in (ingest_plans.stream_pages, ingest_plans.stream_dedup):
+        one, folder = (sorted(run(spark, d).collect()) for d in (sf_dir, str(tmp_path)))
+        assert one and folder == one
