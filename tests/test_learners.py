@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from manylabel.functions.labels import to_matrix
 from manylabel.operators import bayes, cuts, enrich, enrich_svm, kernels, laplacian, svm, tiles
+from manylabel import session
+from manylabel.plans import inputs
 from manylabel.session import stage
 
 N, D, Q = 60, 15, 3
@@ -312,3 +314,22 @@ def test_prefix_labels_keep_the_given_ones(spark):
     labels = spark.createDataFrame([(5, 0)], "id long, class_id int")
     got = sorted(tuple(r) for r in cuts.prefix_labels(nodes, edges, labels, 1.0, 3.0).select("id", "class_id").collect())
     assert got == [(0, 0), (1, 0), (2, 0), (5, 0)]
+
+
+def test_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
+    """Counts of an input many times a partition's size are made in that many tasks."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", 200)
+    monkeypatch.setattr(session, "_open", lambda s: s.conf.get(session.SHUFFLE) in ("200", s.conf.get(session.TUNED, None)))
+    monkeypatch.setattr(session, "PARTITION_BYTES", 1 << 14)
+    session.tune(own)
+    assert session.shuffle_width(own) == own.sparkContext.defaultParallelism
+    docs = inputs.cleaned(own, sf_dir)
+    assert session.shuffle_width(own) > 3 * own.sparkContext.defaultParallelism
+    counts = inputs.term_counts(docs)
+    assert counts.rdd.getNumPartitions() == session.shuffle_width(own)
+    session.tune(own)
+    assert session.shuffle_width(own) == own.sparkContext.defaultParallelism
+    own.conf.set("spark.sql.shuffle.partitions", 5)  # someone's choice stays
+    inputs.cleaned(own, sf_dir)
+    assert session.shuffle_width(own) == 5
