@@ -333,3 +333,36 @@ def test_partitions_grow_with_the_input(spark, sf_dir, monkeypatch):
     own.conf.set("spark.sql.shuffle.partitions", 5)  # someone's choice stays
     inputs.cleaned(own, sf_dir)
     assert session.shuffle_width(own) == 5
+
+
+def test_blocks_send_only_terms_of_several_rows(spark, monkeypatch):
+    """A product is that of the matrix, and a term of a single row never leaves its block."""
+    monkeypatch.setattr(tiles, "BLOCK_ENTRIES", 30)
+    monkeypatch.setattr(tiles, "COLUMNS", 2)
+    rng = np.random.default_rng(5)
+    n, common = 40, 6
+    x = np.zeros((n, common + 5 * n))
+    x[:, :common] = rng.random((n, common)) * (rng.random((n, common)) < 0.4)
+    x[:2, :common] = 1.0  # every common term has two rows at least
+    for i in range(n):
+        x[i, common + 5 * i : common + 5 * i + 5] = rng.random(5)
+    cells = [(i, f"t{j}", float(x[i, j])) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(x)))]
+    features = stage(spark.createDataFrame(cells, "id long, term string, x double"))
+    terms = stage(features.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    numbered, shared = tiles.spread_index(terms)
+    assert shared == common
+    entries = features.join(numbered, "term").select("id", "idx", "x")
+    ids = spark.range(n).select("id", F.array(F.lit(1), F.lit(1), F.lit(1)).cast("array<tinyint>").alias("s"))
+    made = tiles.Tiles(entries, ids, x.shape[1], shared, 3, len(cells), n)
+    y = {r["r"]: (np.frombuffer(r["ids"], np.int64), rng.normal(size=(r["n"], 3))) for r in made.rows.collect()}
+    assert len(y) > 3
+    vectors = stage(spark.createDataFrame([(r, bytearray(v.tobytes())) for r, (_, v) in y.items()], "r int, v binary"))
+    whole = np.zeros((n, 3))
+    for at, v in y.values():
+        whole[at] = v
+    full = np.hstack([x, np.ones((n, 1))])
+    for r in made.through(vectors, 3).collect():
+        assert np.allclose(np.frombuffer(r["v"]).reshape(-1, 3), (full @ full.T @ whole)[y[r["r"]][0]])
+    sent = made._sent(vectors, [(0, 3)]).filter("c >= 0").agg(F.sum(F.length("at")), F.sum(F.length("v"))).first()
+    held = sum(1 + np.count_nonzero(x[at, :common].any(axis=0)) for at, _ in y.values())
+    assert tuple(sent) == (4 * held, 24 * held)
