@@ -164,3 +164,9 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path, sf_dir):
     for run in (ingest_plans.stream_pages, ingest_plans.stream_dedup):
         one, folder = (sorted(run(spark, d).collect()) for d in (sf_dir, str(tmp_path)))
         assert one and folder == one
+
+
+def test_pages_of_one_file_are_parsed_by_all_cores(spark, sf_dir):
+    """Parts are one small file, their pages are the work of several tasks."""
+    for run in (ingest_plans.app_page_fields, ingest_plans.app_page_links):
+        assert run(spark, sf_dir).rdd.getNumPartitions() > 1
