@@ -178,6 +178,27 @@ def test_svm_gradient_vanishes(data, monkeypatch, pieces):
     assert np.allclose(got, x @ w, atol=1e-5)
 
 
+def test_common_directions_do_not_add_svm_steps(spark, monkeypatch):
+    """Words that most rows share, in groups, as in texts of several languages."""
+    rng = np.random.default_rng(5)
+    n, groups = 200, 12
+    own = np.eye(groups)[np.arange(n) % groups] * np.geomspace(0.05, 4.0, groups)
+    x = np.hstack([own, rng.poisson(0.4, (n, 2)) * 0.3])
+    cells = [(i, f"w{j:02d}", float(x[i, j])) for i in range(n) for j in range(x.shape[1]) if x[i, j]]
+    feats = stage(spark.createDataFrame(cells, "id long, term string, x double"))
+    s = np.where(rng.random(n) < 0.2, 1, -1)
+    targets = stage(spark.createDataFrame([(i, [v]) for i, v in enumerate(s.tolist())], "id long, s array<tinyint>"))
+    sent, through = [], tiles.Tiles.through
+    monkeypatch.setattr(tiles.Tiles, "through", lambda *a: sent.append(1) or through(*a))
+    model = svm.fit(feats, targets, 10.0, tol=1e-4)
+    assert len(sent) <= 20
+    rows = {r["term"]: r["w"][0] for r in model.weights.collect()}
+    w = np.array([rows[f"w{j:02d}"] for j in range(x.shape[1])] + [rows[""]])
+    x = np.hstack([x, np.ones((n, 1))])
+    g = w - 20 * x.T @ (s * np.maximum(0, 1 - s * (x @ w)))
+    assert np.linalg.norm(g) <= 2e-4 * 20 * np.linalg.norm(x.T @ s)
+
+
 def test_one_sided_tasks_are_constant(spark, data):
     targets = data["ids"].select(
         "id", F.array(F.lit(1), F.lit(-1), F.when(F.col("id") < 20, 1).otherwise(-1))
