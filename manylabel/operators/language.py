@@ -11,7 +11,7 @@ from manylabel.functions.labels import to_matrix
 from manylabel.functions.lists import index_name
 from manylabel.operators import bayes
 from manylabel.operators.features import term_counts
-from manylabel.session import stage, stage_by_key
+from manylabel.session import shuffle_width, stage, stage_by_block, with_block
 
 # Every run of three characters, overlapping.
 TRIGRAMS = r"(?s)(?=(.{3}))"
@@ -31,10 +31,11 @@ def detect_language(
     index = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
     known = train.filter(F.col("lang").isin(*languages)).withColumn("class_id", index.cast("int"))
     y = stage(to_matrix(known, len(languages)), "targets")
+    block = f"_block_{shuffle_width(texts.sparkSession)}"
     model = bayes.fit_multiclass(
-        stage_by_key(trigram_counts(known), "id", "trigrams", placed=True), y, len(languages), alpha
+        stage_by_block(trigram_counts(with_block(known, block)), "trigrams", placed=True), y, len(languages), alpha
     )
-    counts = stage_by_key(trigram_counts(texts), "id", "trigrams", placed=True)
+    counts = stage_by_block(trigram_counts(with_block(texts, block)), "trigrams", placed=True)
     scored = bayes.score(model, counts, counts.select("id").distinct())
     named = scored.select(
         "id", index_name(bayes.best_class("m"), languages).alias("lang")

@@ -555,8 +555,9 @@ def max_margin_change(spark, sf_dir):
     corpus = Corpus(spark, sf_dir, with_tfidf=False)
     spies = stage(enrich.sample_spies(corpus.labels), "spies")
     hidden = enrich._without_spies(corpus.labels, spies)
-    first = enrich.nb_margins(corpus.counts, to_matrix(hidden, Q, corpus.ids), corpus.ids, Q)
-    last, _ = enrich.iterate_bayes(corpus.counts, hidden, corpus.ids, Q)
+    y = stage(to_matrix(hidden, Q, corpus.ids), "targets")
+    first = stage(enrich.nb_margins(corpus.counts, y, corpus.ids, Q), "margins")
+    last, _ = enrich.iterate_bayes(corpus.counts, hidden, corpus.ids, Q, first=first)
     deltas = enrich.margin_changes(first, last)
     return deltas.select("class_id", F.round("delta", 4).alias("delta"))
 

@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from manylabel.functions.labels import to_matrix
-from manylabel.operators import bayes, cuts, enrich, enrich_svm, kernels, laplacian, svm, tiles
+from manylabel.operators import algebra, bayes, cuts, enrich, enrich_svm, kernels, laplacian, svm, tiles
 from manylabel import session
-from manylabel.plans import inputs
+from manylabel.plans import inputs, load_all
+from manylabel.plans.registry import QUERIES
 from manylabel.session import stage
 
+load_all()
 N, D, Q = 60, 15, 3
 
 
@@ -387,3 +389,46 @@ def test_blocks_send_only_terms_of_several_rows(spark, monkeypatch):
     sent = made._sent(vectors, [(0, 3)]).filter("c >= 0").agg(F.sum(F.length("at")), F.sum(F.length("v"))).first()
     held = sum(1 + np.count_nonzero(x[at, :common].any(axis=0)) for at, _ in y.values())
     assert tuple(sent) == (4 * held, 24 * held)
+
+
+def test_rows_stay_in_their_blocks(spark, data, monkeypatch):
+    """A large table of terms goes to the blocks; only its answers move, the rows do not."""
+    monkeypatch.setattr(algebra, "BROADCAST_BYTES", 0)
+    scores = lambda rows: {r["id"]: r["s"] for r in enrich.class_similarity(rows, data["pos"], data["ids"], Q).collect()}
+    want = scores(data["feats"])
+    feats = session.stage_by_block(data["feats"], "feats")
+    block = session.block_of(feats.columns)
+    assert feats.groupBy(block).count().count() == session.block_width(block) == session.shuffle_width(spark)
+    got = scores(feats)
+    assert len(got) == N and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+    table = stage(feats.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.array(F.sum("x")).alias("w")))
+    with session.placed_by_block(spark):
+        joined = algebra.join_terms(feats, table).groupBy(block, "id").agg(F.sum("x"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    # Neither the rows nor partial sums of their ids are dealt anew.
+    assert f"ShuffledHashJoin [{block}#" in plan and "hashpartitioning(" not in plan
+
+
+def test_settled_classes_take_no_part(data, monkeypatch):
+    widths, fit = [], enrich.nb_margins
+
+    def counted(counts, y, ids, q, *more):
+        widths.append(q)
+        return fit(counts, y, ids, q, *more)
+
+    monkeypatch.setattr(enrich, "nb_margins", counted)
+    _, refits = enrich.iterate_bayes(data["counts"], data["pos"], data["ids"], Q)
+    assert widths == [Q] + [sum(r > i for r in refits) for i in range(max(refits))]
+    assert sum(widths) < Q * len(widths)
+
+
+@pytest.mark.parametrize("name", ["tfidf_options", "count_vectors", "linear_well", "nb_margins", "detect_language"])
+def test_blocks_give_the_same_rows(spark, sf_dir, monkeypatch, name):
+    found = []
+    for limit in (algebra.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(algebra, "BROADCAST_BYTES", limit)
+        table = QUERIES[name](spark, sf_dir).toArrow().to_pydict()
+        found.append(sorted(zip(*(table[c] for c in sorted(table)))))
+    assert len(found[0]) == len(found[1])
+    for a, b in zip(*found):
+        assert a == pytest.approx(b, abs=2e-6) if not any(isinstance(v, str) or v is None for v in a) else str(a)[:30] == str(b)[:30]
