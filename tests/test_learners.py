@@ -432,3 +432,16 @@ def test_blocks_give_the_same_rows(spark, sf_dir, monkeypatch, name):
     assert len(found[0]) == len(found[1])
     for a, b in zip(*found):
         assert a == pytest.approx(b, abs=2e-6) if not any(isinstance(v, str) or v is None for v in a) else str(a)[:30] == str(b)[:30]
+
+
+def test_pairs_of_blocks_are_dealt_by_their_bytes(spark, monkeypatch):
+    """Pairs grow with the square of the blocks; what a task reads does not."""
+    monkeypatch.setattr(kernels, "TASK_BYTES", 4000)
+    for count in (4, 16):
+        blocks = spark.range(count).selectExpr(
+            "cast(id as int) r", *[f"cast(repeat('x', 100) as binary) {c}" for c in ("row", "idx", "x", "a")]
+        )
+        units = kernels.block_pairs(blocks, count, 400)
+        held = [n for n in units.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+        assert sum(held) == count * count and len(held) == max(session.shuffle_width(spark), -(-count * count // 10))
+        assert max(held) <= 40
