@@ -445,3 +445,36 @@ def test_pairs_of_blocks_are_dealt_by_their_bytes(spark, monkeypatch):
         held = [n for n in units.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
         assert sum(held) == count * count and len(held) == max(session.shuffle_width(spark), -(-count * count // 10))
         assert max(held) <= 40
+
+
+def test_frequent_terms_are_broadcast_and_lone_ones_stay(spark, sf_dir, monkeypatch):
+    """Beyond the limit, only rows of the terms between the two go to the blocks; results stay."""
+    corpus = inputs.Corpus(spark, sf_dir)
+    scores = lambda f: {r["id"]: r["s"] for r in enrich.class_similarity(f, corpus.labels, corpus.ids, inputs.Q).collect()}
+    want = scores(corpus.features.drop("lone"))
+    monkeypatch.setattr(algebra, "BROADCAST_BYTES", 1 << 15)
+    asked, join = [], algebra.join_blocks
+
+    def counted(rows, table, on=("term",), step=None, missing=None):
+        asked.append((rows.select("term").distinct().count(), table.count(), step))
+        return join(rows, table, on, step, missing)
+
+    monkeypatch.setattr(algebra, "join_blocks", counted)
+    features = inputs.tfidf(corpus.counts, corpus.n)
+    terms, several, step = asked[0]
+    assert several < terms and step is not None  # terms of one document are in no table
+    assert features.filter("lone").select("term").distinct().count() == terms - several
+    got = scores(features)
+    assert all(t == several for t, _, _ in asked[1:]) and len(asked) == 2
+    assert len(got) == len(want) and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+    same = lambda f: sorted((r["id"], r["term"], r["x"]) for r in f.collect())
+    for a, b in zip(same(features), same(corpus.features), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+    # A vocabulary from elsewhere says nothing about these documents.
+    assert "lone" not in inputs.tfidf(corpus.counts, 10, features.groupBy("term").agg(F.count("id").alias("df"))).columns
+
+
+def test_no_text_is_staged(spark, sf_dir):
+    with session.staging() as made:
+        inputs.Corpus(spark, sf_dir)
+    assert made and not any("text" in spark.read.parquet(path).columns for path, _ in made)
