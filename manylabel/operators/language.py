@@ -22,20 +22,24 @@ def trigram_counts(df: DataFrame, column: str = "text") -> DataFrame:
 
 
 def detect_language(
-    texts: DataFrame, train: DataFrame, languages: Sequence[str], alpha: float = 1.0
+    texts: DataFrame | None, train: DataFrame, languages: Sequence[str], alpha: float = 1.0
 ) -> DataFrame:
     """``(id, lang)`` of ``texts(id, text)`` by naive Bayes on ``train(id, lang, text)``.
 
-    Texts without any trigram have no language, so they count as foreign.
+    Without ``texts``, they are those of ``train``, whose trigrams are then counted once. Texts without any trigram have no language, so they count as foreign.
     """
     index = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
     known = train.filter(F.col("lang").isin(*languages)).withColumn("class_id", index.cast("int"))
     y = stage(to_matrix(known, len(languages)), "targets")
-    block = f"_block_{shuffle_width(texts.sparkSession)}"
-    model = bayes.fit_multiclass(
-        stage_by_block(trigram_counts(with_block(known, block)), "trigrams", placed=True), y, len(languages), alpha
-    )
-    counts = stage_by_block(trigram_counts(with_block(texts, block)), "trigrams", placed=True)
+    # A text has twice as many trigrams as words, so blocks are half as large.
+    block = f"_block_{2 * shuffle_width(train.sparkSession)}"
+
+    def staged(docs: DataFrame) -> DataFrame:
+        return stage_by_block(trigram_counts(with_block(docs, block)), "trigrams", placed=True)
+
+    counts = staged(train if texts is None else texts)
+    model = bayes.fit_multiclass(counts if texts is None else staged(known), y, len(languages), alpha)
+    texts = train if texts is None else texts
     scored = bayes.score(model, counts, counts.select("id").distinct())
     named = scored.select(
         "id", index_name(bayes.best_class("m"), languages).alias("lang")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from manylabel.functions.labels import to_matrix
-from manylabel.operators import algebra, bayes, cuts, enrich, enrich_svm, kernels, laplacian, svm, tiles
+from manylabel.operators import algebra, bayes, cuts, enrich, enrich_svm, kernels, language, laplacian, svm, tiles
 from manylabel import session
 from manylabel.plans import inputs, load_all
 from manylabel.plans.registry import QUERIES
@@ -478,3 +478,21 @@ def test_no_text_is_staged(spark, sf_dir):
     with session.staging() as made:
         inputs.Corpus(spark, sf_dir)
     assert made and not any("text" in spark.read.parquet(path).columns for path, _ in made)
+
+
+def test_trigrams_of_the_training_texts_are_counted_once(spark, sf_dir, monkeypatch):
+    calls, count = [], language.trigram_counts
+
+    def counted(df, *more):
+        calls.append(df)
+        return count(df, *more)
+
+    monkeypatch.setattr(language, "trigram_counts", counted)
+    docs = inputs.documents(spark, sf_dir).select("id", "lang", "text")
+    some = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    same = lambda df: sorted((r["id"], r["lang"]) for r in df.collect())
+    got = same(language.detect_language(None, some, ["en", "fr"]))
+    assert len(calls) == 1
+    assert got == same(language.detect_language(some.select("id", "text"), some, ["en", "fr"]))
+    QUERIES["detect_language"](spark, sf_dir)
+    assert len(calls) == 4
