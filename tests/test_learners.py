@@ -496,3 +496,9 @@ def test_trigrams_of_the_training_texts_are_counted_once(spark, sf_dir, monkeypa
     assert got == same(language.detect_language(some.select("id", "text"), some, ["en", "fr"]))
     QUERIES["detect_language"](spark, sf_dir)
     assert len(calls) == 4
+
+
+def test_ngrams_are_counted_in_more_tasks(spark, sf_dir):
+    docs = inputs.cleaned(spark, sf_dir)
+    width = [inputs.term_counts(docs, ngram_range=(1, n)).rdd.getNumPartitions() for n in (1, 2, 3)]
+    assert width == [n * session.shuffle_width(spark) for n in (1, 2, 3)]
