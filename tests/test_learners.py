@@ -502,3 +502,22 @@ def test_ngrams_are_counted_in_more_tasks(spark, sf_dir):
     docs = inputs.cleaned(spark, sf_dir)
     width = [inputs.term_counts(docs, ngram_range=(1, n)).rdd.getNumPartitions() for n in (1, 2, 3)]
     assert width == [n * session.shuffle_width(spark) for n in (1, 2, 3)]
+
+
+def test_only_moving_tasks_go_through_the_tiles(data, monkeypatch):
+    """Weight zero takes part in no product, and a task does not after its labels have settled."""
+    rows, gamma = laplacian.kernel_rows(data["feats"], data["ids"], 1e-3)
+    columns, through = [], tiles.Tiles.through
+
+    def counted(self, rows, count):
+        columns.append(count)
+        return through(self, rows, count)
+
+    monkeypatch.setattr(tiles.Tiles, "through", counted)
+    both = laplacian.relax_weights(data["feats"], rows, data["pos"], Q, [0.0, 0.01], 10.0, gamma)
+    assert columns and columns[0] <= Q and columns == sorted(columns, reverse=True)
+    monkeypatch.undo()
+    alone = laplacian.relax(data["feats"], rows, data["pos"], Q, 0.01, 10.0, gamma)
+    want = {r["id"]: r["x"] for r in alone.collect()}
+    got = {r["id"]: r["x"][Q:] for r in both.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
