@@ -521,3 +521,16 @@ def test_only_moving_tasks_go_through_the_tiles(data, monkeypatch):
     want = {r["id"]: r["x"] for r in alone.collect()}
     got = {r["id"]: r["x"][Q:] for r in both.collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_grid_query_searches_the_whole_grid(spark, sf_dir, monkeypatch):
+    searched = []
+
+    def caught(counts, rows, q, k=3, seed=7, alphas=enrich_svm.NB_ALPHAS, costs=enrich_svm.SVM_COSTS):
+        searched.append((list(alphas), list(costs)))
+        raise StopIteration
+
+    monkeypatch.setattr(enrich_svm, "grid_search", caught)
+    with pytest.raises(StopIteration):
+        QUERIES["grid_search"](spark, sf_dir)
+    assert searched == [([10.0, 1.0, 0.1, 0.01], [3.0, 1.0, 0.3, 0.1])]
