@@ -534,3 +534,17 @@ def test_grid_query_searches_the_whole_grid(spark, sf_dir, monkeypatch):
     with pytest.raises(StopIteration):
         QUERIES["grid_search"](spark, sf_dir)
     assert searched == [([10.0, 1.0, 0.1, 0.01], [3.0, 1.0, 0.3, 0.1])]
+
+
+def test_svm_margins_come_from_the_solver(spark, data):
+    """Scores of its rows, also of those that are in no task, equal those of the weights."""
+    y = to_matrix(data["pos"], Q, data["ids"]).select("id", enrich_svm.signs().alias("s"))
+    none = F.array_repeat(F.lit(0).cast("tinyint"), Q)
+    targets = stage(y.select("id", F.when(F.col("id") % 5 == 0, none).otherwise(F.col("s")).alias("s")))
+    model = svm.fit(data["feats"], targets, 1.0, tol=1e-7)
+    want = {r["id"]: r["m"] for r in model.margins(data["feats"], data["ids"]).collect()}
+    placed = session.stage_by_block(data["feats"])
+    found, constant = svm.fit_margins(placed, targets, 1.0, tol=1e-7)
+    got = {r["id"]: r["m"] for r in found.collect()}
+    assert constant == [None] * Q and got.keys() == want.keys() and len(got) == N
+    assert all(got[i] == pytest.approx(want[i], abs=2e-5) for i in want)
