@@ -170,3 +170,19 @@ def test_pages_of_one_file_are_parsed_by_all_cores(spark, sf_dir):
     """Parts are one small file, their pages are the work of several tasks."""
     for run in (ingest_plans.app_page_fields, ingest_plans.app_page_links):
         assert run(spark, sf_dir).rdd.getNumPartitions() > 1
+
+
+def test_app_tree_is_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver gets no list of the tree's files; an empty first version does not count."""
+    rows = [(f"com.p{i}", v, "Category\n\tPuzzle\n", "a\nb\n", f"text {v}") for i in range(100) for v in ("1", "2")]
+    tree = spark.createDataFrame(rows, "Package string, version string, information string, permission string, description string")
+    assert apps.write_app_tree(tree, str(tmp_path / "tree")) == 600
+    (tmp_path / "tree" / "com.p0" / "0").mkdir()
+    (tmp_path / "tree" / "com.p1" / ".0").mkdir()
+    (tmp_path / "tree" / "com.p1" / ".0" / "x").write_text("x")
+    monkeypatch.setattr(apps, "LISTED", 7)
+    found = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    before = found.getCount()
+    got = {r["Package"]: r["Description"] for r in apps.read_app_tree(spark, str(tmp_path / "tree")).collect()}
+    assert found.getCount() - before < 100
+    assert got == {f"com.p{i}": "text 1" for i in range(100)}
