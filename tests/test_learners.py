@@ -548,3 +548,18 @@ def test_svm_margins_come_from_the_solver(spark, data):
     got = {r["id"]: r["m"] for r in found.collect()}
     assert constant == [None] * Q and got.keys() == want.keys() and len(got) == N
     assert all(got[i] == pytest.approx(want[i], abs=2e-5) for i in want)
+
+
+def test_refits_go_through_tiles(spark, data, monkeypatch):
+    """Counts are cut into tiles once; margins equal those of the joins, in blocks of rows or not."""
+    y = stage(to_matrix(data["pos"], Q, data["ids"]))
+    want = {r["id"]: r["m"] for r in enrich.nb_margins(data["counts"], y, data["ids"], Q).collect()}
+    lone = data["counts"].unionByName(spark.createDataFrame([(7, "only", 3), (9, "own", 2)], "id long, term string, tf long"))
+    monkeypatch.setattr(tiles, "BLOCK_ENTRIES", 100)
+    totals = bayes.class_totals(y, Q)
+    got = {r["id"]: r["m"] for r in bayes.CountTiles(data["counts"], data["ids"], Q, 1.0).margins(y, Q, totals).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+    want = {r["id"]: r["m"] for r in enrich.nb_margins(lone, y, data["ids"], Q).collect()}
+    found = bayes.CountTiles(session.stage_by_block(lone), data["ids"], Q, 1.0).margins(y, Q, totals)
+    got = {r["id"]: r["m"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
